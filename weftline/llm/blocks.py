@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,18 @@ SENT_SCHEMA = "part int, block long, payload binary"
 ANSWER_SCHEMA = "block long, payload binary"
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id and text alone, without nulls."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def with_null_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.expr(f"nullif(doc_id, {int(NO_ID)}L)"))
+
+
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Checkpointed blocks of (doc_id, text); a longer document has a block of its own. Null texts count as empty."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = plain(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 32, 0
@@ -56,6 +66,28 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return checkpointed(docs.mapInArrow(run, BLOCK_SCHEMA))
 
 
+def rewrite(docs: DataFrame, change: Callable[[list[str | None]], tuple[list[bool], list[str | None]]]) -> DataFrame:
+    """Rows of ``docs`` that ``change`` keeps, with the texts that it gives; other columns pass untouched, without a
+    shuffle. ``n_chars``, where there is one, follows a text that has changed."""
+    at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            keep, after = change(texts)
+            columns = list(batch.columns)
+            if any(a is not b for a, b in zip(texts, after, strict=True)):
+                columns[at] = pa.array(after, batch.schema.field(at).type)
+                if counted is not None:
+                    sizes = [n if a is b else len(b) for a, b, n in zip(texts, after, columns[counted].to_pylist(), strict=True)]
+                    columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out if all(keep) else out.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, the start of each text (one more than texts), and all bytes."""
     table = pa.ipc.open_stream(payload).read_all().combine_chunks()
