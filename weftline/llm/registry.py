@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.decontamination import op3_benchmark_decontamination
 from weftline.llm.media_ogg import op9_media_ogg
+from weftline.llm.piece_tokens import op4_sentencepiece
 from weftline.llm.quality import op2_quality_classifier
 from weftline.llm.sharding import op6_sharding
 from weftline.llm.substring_dedup import op1_substring_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_sharding": op6_sharding,
     "op9_media_ogg": op9_media_ogg,
 }
