@@ -112,6 +112,23 @@ def part_count(n_bytes: int, part_bytes: int = PART_BYTES) -> int:
     return max(8, -(-n_bytes // part_bytes))
 
 
+def key_bytes(n: int) -> int:
+    """Bytes of a hash that filter ``n`` values with under one false match in 1,000; never fewer than 5."""
+    return min(8, max(5, -(-(n.bit_length() + 10) // 8)))
+
+
+def planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The ``width`` high bytes of 64-bit values, all highest bytes first: in ascending order these compress well."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(raw: bytes, width: int = 8) -> np.ndarray:
+    n = len(raw) // width
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
 def split_by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of ``keys`` (ascending within each part) and the bounds of the parts in it. The part is in the high bits."""
     order = np.argsort(keys, kind="stable")

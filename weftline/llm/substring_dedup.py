@@ -46,21 +46,23 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = True, bl
     if window <= PERIOD:
         raise ValueError(f"window must be over {PERIOD} words")
     blocks = B.pack(docs, block_bytes)
-    parts = B.part_count(B.total_bytes(blocks))
+    size = B.total_bytes(blocks)
+    parts, width = B.part_count(size), B.key_bytes(size)
+    flag = np.uint64(1 << (64 - 8 * width))  # the lowest bit that is sent
 
     def send_anchors(block, payload):
         ids, starts, data = B.unpack(payload)
         hashes, at = _anchors(Tokens(data, starts), window)
-        found, counts = np.unique(hashes[at] | np.uint64(1), return_counts=True)
-        found ^= (counts > 1).astype(np.uint64)  # an even value: more than once in this block
+        found, counts = np.unique(hashes[at] // flag | np.uint64(1), return_counts=True)
+        found = (found ^ (counts > 1).astype(np.uint64)) * flag  # an even value: more than once in this block
         order, cuts = B.split_by_part(found, parts)
         for p in np.flatnonzero(np.diff(cuts)):
-            yield int(p), block, found[order[cuts[p] : cuts[p + 1]]].tobytes()
+            yield int(p), block, B.planes(found[order[cuts[p] : cuts[p + 1]]], width)
 
     def shared_anchors(part, froms, payloads):
-        sizes = [len(x) // 8 for x in payloads]
-        values = np.frombuffer(b"".join(payloads), np.uint64)
-        keys = values | np.uint64(1)
+        sizes = [len(x) // width for x in payloads]
+        values = np.concatenate([B.from_planes(x, width) for x in payloads])
+        keys = values | flag
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         same = np.zeros(len(ordered), bool)
@@ -68,11 +70,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = True, bl
         same[:-1] |= same[1:]
         shared = np.zeros(len(values), bool)
         shared[order] = same
-        shared |= (values & np.uint64(1)) == 0
+        shared |= (values & flag) == 0
         for block, end, n in zip(froms, np.cumsum(sizes), sizes, strict=True):
             own = keys[end - n : end][shared[end - n : end]]
             if len(own):
-                yield block, own.tobytes()
+                yield block, B.planes(own, width)
 
     def send_windows(block, payload, answers):
         if not answers:
@@ -80,9 +82,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = True, bl
         ids, starts, data = B.unpack(payload)
         tokens = Tokens(data, starts)
         hashes, at = _anchors(tokens, window)
-        shared = np.sort(np.frombuffer(b"".join(answers), np.uint64))
+        shared = np.sort(np.concatenate([B.from_planes(x, width) for x in answers]))
         hit = np.flatnonzero(at)
-        hit = hit[member(hashes[hit] | np.uint64(1), shared)]
+        hit = hit[member((hashes[hit] // flag | np.uint64(1)) * flag, shared)]
         full, whole = tokens.windows(window)
         near = np.zeros(len(full) + PERIOD, np.int32)  # windows that hold a shared anchor; shifted by PERIOD - 1
         near[hit] += 1
@@ -92,26 +94,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, keep_text: bool = True, bl
         order, cuts = B.split_by_part(found, parts)
         for p in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[p] : cuts[p + 1]]
-            yield int(p), block, found[own].tobytes() + least[own].tobytes()
+            yield int(p), block, B.planes(found[own]) + B.planes(least[own].view(np.uint64))
 
     def first_documents(part, froms, payloads):
         sizes = np.array([len(x) // 16 for x in payloads])
-        hashes = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(payloads, sizes, strict=True)])
-        ids = np.concatenate([np.frombuffer(x, np.int64, n, n * 8) for x, n in zip(payloads, sizes, strict=True)])
+        hashes = np.concatenate([B.from_planes(x[: len(x) // 2]) for x in payloads])
+        ids = np.concatenate([B.from_planes(x[len(x) // 2 :]) for x in payloads]).view(np.int64)
         found, least = _first_seen(hashes, ids)
         earlier = least[np.searchsorted(found, hashes)] < ids
         ends = np.cumsum(sizes)
         for block, end, n in zip(froms, ends, sizes, strict=True):
             own = hashes[end - n : end][earlier[end - n : end]]
             if len(own):
-                yield block, own.tobytes()
+                yield block, B.planes(own)
 
     def cover(block, payload, answers):
         ids, starts, data = B.unpack(payload)
         tokens = Tokens(data, starts)
         full, whole = tokens.windows(window)
         at = np.flatnonzero(whole)
-        elsewhere = member(full[at], np.sort(np.frombuffer(b"".join(answers), np.uint64)))
+        elsewhere = member(full[at], np.sort(np.concatenate([np.zeros(0, np.uint64), *map(B.from_planes, answers)])))
         found, least = _first_seen(full[at], ids[tokens.doc[at]])
         gone = at[elsewhere | (least[np.searchsorted(found, full[at])] < ids[tokens.doc[at]])]
         depth = np.zeros(len(full) + window + 1, np.int32)
