@@ -6,6 +6,7 @@ from weftline.llm.decontamination import op3_benchmark_decontamination
 from weftline.llm.media_ogg import op9_media_ogg
 from weftline.llm.piece_tokens import op4_sentencepiece
 from weftline.llm.quality import op2_quality_classifier
+from weftline.llm.secrets_scan import op10_secret_scans
 from weftline.llm.sharding import op6_sharding
 from weftline.llm.substring_dedup import op1_substring_dedup
 
@@ -16,5 +17,6 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_sharding": op6_sharding,
     "op9_media_ogg": op9_media_ogg,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLES: dict[str, str] = {}
