@@ -31,6 +31,12 @@ def _unit(column) -> F.Column:
     return (F.shiftrightunsigned(F.xxhash64(column), 12)).cast("double") / F.lit(float(1 << 52))
 
 
+def _inline(spark, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table as SQL literals: no Python runs on the executors."""
+    text = ", ".join("(" + ", ".join(f"CAST('{x!r}' AS DOUBLE)" if isinstance(x, float) else str(int(x)) for x in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(names)})")
+
+
 def _dimensions(docs: DataFrame) -> DataFrame:
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_text"), F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"))
@@ -63,7 +69,7 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, n_shards: int |
         for _ in range(8):
             if not state:
                 break
-            plan = F.broadcast(spark.createDataFrame([(n, *map(float, (s[1], s[2])), s[0]) for n, s in state.items()], "_node int, _lo double, _hi double, _dim int"))
+            plan = F.broadcast(_inline(spark, [(n, float(s[1]), float(s[2]), s[0]) for n, s in state.items()], ["_node", "_lo", "_hi", "_dim"]))
             value = F.element_at("_at", F.col("_dim") + 1)
             bin_ = F.least(F.lit(BINS - 1), F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS)).cast("int")
             sums = rows.join(plan, "_node").where((value >= F.col("_lo")) & (value <= F.col("_hi"))).groupBy("_node", F.when(F.col("_hi") > F.col("_lo"), bin_).otherwise(0).alias("_bin")).agg(F.sum("size").alias("w"), F.min(value).alias("a"), F.max(value).alias("b")).collect()
@@ -91,9 +97,9 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, n_shards: int |
             table.append((node, dim, float(at), fresh, fresh + 1))
             fresh += 2
         nodes = after
-        step = F.broadcast(spark.createDataFrame(table, "_node int, _dim int, _cut double, _low int, _high int"))
+        step = F.broadcast(_inline(spark, table, ["_node", "_dim", "_cut", "_low", "_high"]))
         rows = rows.join(step, "_node", "left").select("doc_id", "size", "text_crc32", "_at", F.when(F.col("_dim").isNull(), F.col("_node")).when(F.element_at("_at", F.col("_dim") + 1) <= F.col("_cut"), F.col("_low")).otherwise(F.col("_high")).alias("_node"))
-    last = F.broadcast(spark.createDataFrame([(n, first) for n, (_, first) in nodes.items()], "_node int, shard int"))
+    last = F.broadcast(_inline(spark, [(n, first) for n, (_, first) in nodes.items()], ["_node", "shard"]))
     return rows.join(last, "_node").select("doc_id", "size", "text_crc32", "shard")
 
 
