@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftline.llm.decontamination import op3_benchmark_decontamination
 from weftline.llm.license_scan import op7_license_scans
 from weftline.llm.media_ogg import op9_media_ogg
+from weftline.llm.ngram_join import op8_ngram_jaccard_join
 from weftline.llm.piece_tokens import op4_sentencepiece
 from weftline.llm.quality import op2_quality_classifier
 from weftline.llm.secrets_scan import op10_secret_scans
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_sharding": op6_sharding,
     "op7_license_scans": op7_license_scans,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_media_ogg": op9_media_ogg,
     "op10_secret_scans": op10_secret_scans,
 }
