@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from weftline.session import checkpointed
 
 NO_ID = np.iinfo(np.int64).max
+LEVEL = 5
+CODEC = pa.Codec("zstd", compression_level=LEVEL)
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
@@ -41,6 +43,14 @@ def with_null_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.expr(f"nullif(doc_id, {int(NO_ID)}L)"))
 
 
+def press(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw).to_pybytes()
+
+
+def unpress(raw: bytes) -> bytes:
+    return CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Checkpointed blocks of (doc_id, text); a longer document has a block of its own. Null texts count as empty."""
     docs = plain(docs)
@@ -55,7 +65,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 stop = max(start + 1, int(np.searchsorted(ends, before + block_bytes, side="right")))
                 part = batch.slice(start, stop - start)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
                     out.write_batch(part)
                 yield pa.RecordBatch.from_pydict(
                     {"block": [base + seq], "n_docs": [stop - start], "n_bytes": [int(ends[stop - 1] - before)], "payload": [sink.getvalue().to_pybytes()]},

@@ -11,12 +11,14 @@ from weftline.llm.quality import op2_quality_classifier
 from weftline.llm.secrets_scan import op10_secret_scans
 from weftline.llm.sharding import op6_sharding
 from weftline.llm.substring_dedup import op1_substring_dedup
+from weftline.llm.suffix_dedup import op5_suffix_array_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_sharding": op6_sharding,
     "op7_license_scans": op7_license_scans,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
