@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
+
+#: Modules of ``weftline.plans`` with ``QUERIES`` and ``ORACLES``.
+MODULES = ["catalog_queries"]
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"weftline.plans.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
