@@ -10,10 +10,10 @@ def latest_per_key(rows: DataFrame, keys: list[str], at: str, *ties: str) -> Dat
     """The newest row of each key: null times last, then the least tie columns.
 
     An aggregate, not a window: rows of a key are combined before the shuffle, so a hot key costs one row a task."""
-    rank = F.struct(F.col(at).isNotNull().alias("_has"), F.col(at).alias("_at"))
-    newest = rows.groupBy(*keys).agg(F.max(rank).alias("_top"))
-    same = rows.join(newest, [rows[k].eqNullSafe(newest[k]) for k in keys]).where(F.struct(rows[at].isNotNull(), rows[at]).eqNullSafe(F.col("_top"))).select(*[rows[c] for c in rows.columns])
-    return same.groupBy(*keys).agg(F.min(F.struct(*ties, *[c for c in rows.columns if c not in {*keys, *ties}])).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+    newest = rows.groupBy(*keys).agg(F.max(F.struct(F.col(at).isNotNull().alias("_has"), F.col(at).alias("_at"))).alias("_top")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_top")
+    same = rows.withColumn("_own", F.struct(F.col(at).isNotNull().alias("_has"), F.col(at).alias("_at"))).join(newest, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).where(F.col("_own").eqNullSafe(F.col("_top"))).select(*rows.columns)
+    rest = [c for c in rows.columns if c not in {*keys, *ties}]
+    return same.groupBy(*keys).agg(F.min(F.struct(*ties, *rest)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
 def top_k(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
