@@ -14,8 +14,8 @@ Removed is every byte of a string of ``width`` bytes (a window) that also starts
    sides in o bytes, that is, if they lie in one run of either order.
 4. Each block gets, for each context it sent, which of its windows occur elsewhere, and removes what they cover.
 
-A part holds contexts of all its grams, of bounded number; a gram that a third of all documents share sends one entry
-a block for each different context.
+A part's contexts are ordered some thousand at a time, whole grams together. A gram that a third of all documents share
+sends one entry a block for each different context.
 
 Defined results: null and empty texts keep sha256 of nothing; texts of fewer than ``width`` bytes keep all; matches
 never cross documents; what is left need not be valid UTF-8; repeated rows remove each other's windows.
@@ -35,6 +35,7 @@ from weftline.llm.suffix_groups import suffix_array
 
 WIDTH = 200
 PIECE = 24
+SLICE = 8000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -138,16 +139,28 @@ def repeated_windows(contexts: list[tuple], many: np.ndarray, width: int, gram:
     valid = (offsets[None, :] <= lefts[:, None]) & (offsets[None, :] > (lefts - counts)[:, None])
     out = valid & many[:, None]
     grams = np.array([c[0] for c in contexts], np.uint64)
-    _, group, sizes = np.unique(grams, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(sizes[group] > 1)  # a gram with one context has nothing to compare
-    if not len(some):
-        return out
+    order = np.argsort(grams, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1], [True]]))
+    at = 0
+    while at + 1 < len(cuts):  # whole grams, some thousand contexts at a time, one gram at least
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SLICE, side="right")) - 1)
+        sizes = np.diff(cuts[at : to + 1])
+        # a gram with one context has nothing to compare
+        some = order[cuts[at] : cuts[to]][np.repeat(sizes > 1, sizes)]
+        if len(some):
+            _compare(contexts, some, valid, out, width, span)
+        at = to
+    return out
+
+
+def _compare(contexts: list[tuple], some: np.ndarray, valid: np.ndarray, out: np.ndarray, width: int, span: int) -> None:
+    """Mark in ``out`` the windows of some contexts that other ones of them have, too."""
     right, left = np.zeros((len(some), width), np.uint8), np.zeros((len(some), span), np.uint8)
-    right_sizes, left_sizes = np.zeros(len(some), np.int64), lefts[some]
+    right_sizes, left_sizes = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
     for k, i in enumerate(some.tolist()):
         _, p, _, text = contexts[i]
         raw = np.frombuffer(text, np.uint8)
-        right_sizes[k] = len(raw) - p
+        right_sizes[k], left_sizes[k] = len(raw) - p, p
         right[k, : len(raw) - p] = raw[p:]
         left[k, :p] = raw[:p][::-1]
     by_right, by_left = order_both(right, right_sizes, left, left_sizes)
@@ -159,10 +172,8 @@ def repeated_windows(contexts: list[tuple], many: np.ndarray, width: int, gram:
         left_run[by_left] = np.cumsum(common_left < o)
         own = np.flatnonzero(valid[some, o])
         if len(own) > 1:
-            _, at, times = np.unique(right_run[own] * (n + 1) + left_run[own], return_inverse=True, return_counts=True)
-            # a context that occurs more than once makes its equals repeated, too
+            _, at, times = np.unique(right_run[own] * (len(some) + 1) + left_run[own], return_inverse=True, return_counts=True)
             out[some[own], o] |= times[at] > 1
-    return out
 
 
 def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = 100, keep_bytes: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
