@@ -17,9 +17,11 @@ def derived_uuid(*parts: Column) -> Column:
     return F.concat(F.substring(h, 1, 12), F.lit("8"), F.substring(h, 14, 3), F.lower(F.hex(variant.bitwiseAND(3).bitwiseOR(8))), F.substring(h, 18, 15))
 
 
-def derived_id(kind: str, *parts: Column) -> Column:
-    """``<prefix>_<uuid>``; the kind's tag is the first part."""
-    return F.concat(F.lit(PREFIXES[kind] + "_"), derived_uuid(F.lit(kind), *parts))
+def derived_id(kind: str, *parts: Column, namespace: str | None = None) -> Column:
+    """``<prefix>_<uuid>``. The first part hashed is a tag: the kind, or ``<namespace>/<kind>/v1`` for ids that have to
+    equal those of a system that names its tags so."""
+    tag = f"{namespace}/{kind.replace('_', '-')}/v1" if namespace else kind
+    return F.concat(F.lit(PREFIXES[kind] + "_"), derived_uuid(F.lit(tag), *parts))
 
 
 def wire_id(kind: str, value: Column) -> Column:
