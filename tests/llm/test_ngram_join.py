@@ -5,7 +5,7 @@ import numpy as np
 
 from weftline.llm import blocks as B
 from weftline.llm.ngram_join import components, keep_one
-from weftline.llm.signature_tree import bitmap, bits_for, candidate_pairs, link_sets
+from weftline.llm.signature_tree import UnionFind, bitmap, bits_for, link_candidates, link_sets
 
 
 def sets_of(rows):
@@ -79,8 +79,9 @@ def test_trees_equal_all_pairs():
         x, y = sorted((find(a), find(b)))
         up[y] = x
     assert [links.find(k) for k in range(150)] == [find(k) for k in range(150)]
-    found = {tuple(sorted(p)) for p in candidate_pairs([bitmap(s, bits_for(len(s))) for s in sets], np.array([len(s) for s in sets]), list(range(150)), 75)}
-    assert similar <= found
+    doubt = UnionFind(150)
+    link_candidates([bitmap(s, bits_for(len(s))) for s in sets], np.array([len(s) for s in sets]), list(range(150)), doubt, 75)
+    assert all(doubt.find(a) == doubt.find(b) for a, b in similar)
 
 
 def test_one_of_each_group_stays(docs, corpus, nothing):

@@ -6,13 +6,15 @@ copies; no link between different sets is lost.
 
 1. Documents with equal sets form a class, found by a 128-bit digest of the set; only one of a class goes on.
 2. Prefix filter: two linked sets of sizes n and m have at least ceil(percent * n / 100) tokens in common, so the
-   first n - ceil(percent * n / 100) + 1 tokens of each, in one fixed order of all tokens, have a token in common. The
-   order puts frequent tokens last. Sets whose prefix shares no token with another have no link.
+   first n - ceil(percent * n / 100) + k tokens of each, in one fixed order of all tokens, have k tokens in common.
+   The order puts frequent tokens last; k is an eighth of the set. Sets whose prefix shares fewer tokens with all
+   others together have no link; of the others only the tokens by which a partner must be met are kept.
 3. Sets that are left meet by their first shared token, at most ``GROUP`` at a time; a signature tree with dual
    traversal finds links, verified on the sets, and passes over node pairs whose sets are linked already. Sets that
    stand for a group meet once more.
-4. What is left: every shared token's group with two or more components goes through a signature tree of bitmaps
-   alone; pairs that the bound cannot rule out are verified on their sets, fetched by a join.
+4. What is left: every shared token's group goes through a signature tree of bitmaps alone; pairs that have not met and
+   that the bound cannot rule out join areas of doubt. The sets of each area are fetched and compared as in step 3; an
+   area of more than ``GROUP`` sets is cut in chunks, and each pair of chunks is compared.
 5. Components of the verified links, by alternating stars.
 
 Steps 1 and 2 exchange packed arrays between blocks (``blocks``), so a token or a copy that a third of all documents
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import blocks as B
 from weftline.llm.hashing import Tokens, member, mix
-from weftline.llm.signature_tree import bitmap, bits_for, candidate_pairs, link_sets
+from weftline.llm.signature_tree import UnionFind, bitmap, bits_for, link_candidates, link_sets
 from weftline.operators.components import connected_components
 from weftline.session import checkpointed
 
@@ -40,8 +42,7 @@ WIDTH, PERCENT = 5, 75
 GROUP = 1000
 HOT_TOKENS = 1 << 16  # the order of tokens knows so many frequent ones; the order changes cost, never results
 HOT_LEAST = 32
-MEMBERS = "doc_id long, n long, class_id long"
-SURVIVORS = "doc_id long, n long, tokens binary, shared binary"
+DOCUMENTS = "doc_id long, n long, class_id long, text binary, shared binary"
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -68,8 +69,22 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s + np.uint64(len(s))))), int(np.bitwise_xor.reduce(mix(s * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))))
 
 
+def _common(n: int) -> int:
+    """So many tokens at least are common to the prefixes of two linked sets of ``n`` tokens or more."""
+    return 1 + n // 8
+
+
 def _prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + _common(n))
+
+
+def _kept(shared: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The shared tokens of a prefix by which a set must be met; none, if too few are shared for any link.
+
+    A partner has ceil(percent * n / 100) tokens at least, so ``least`` tokens or more are common to both prefixes. The
+    first of them still has ``least - 1`` behind it, so as many may be left off at the end."""
+    least = _common(-(-percent * n // 100))
+    return shared[: max(0, len(shared) - least + 1)]
 
 
 def _prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -84,65 +99,36 @@ def _prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> n
     return np.concatenate([cold, late])[:n]
 
 
-def _classes(blocks: DataFrame, parts: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Answers to blocks with the class of each of their sets, and frequent tokens (token, n)."""
+def _frequent(blocks: DataFrame, parts: int, width: int) -> DataFrame:
+    """(hot, times): tokens that some block holds three times or more, with their counts over such blocks."""
 
     def send(block, payload):
-        ids, starts, data = B.unpack(payload)
-        sets = shingle_sets(data, starts, width)
-        least: dict[tuple[int, int], int] = {}
-        for doc_id, s in zip(ids.tolist(), sets, strict=True):
-            if len(s):
-                key = _digest(s)
-                least[key] = min(least.get(key, doc_id), doc_id)
-        if not least:
-            return
-        high, low = (np.array([k[i] for k in least], np.uint64) for i in (0, 1))
-        own = np.array(list(least.values()), np.int64)
-        order, cuts = B.split_by_part(high, parts)
-        everything = np.sort(np.concatenate(sets))
-        start = np.flatnonzero(np.concatenate([[True], everything[1:] != everything[:-1]]))
+        _, starts, data = B.unpack(payload)
+        everything = np.sort(np.concatenate(shingle_sets(data, starts, width)))
+        start = np.flatnonzero(np.concatenate([[True], everything[1:] != everything[:-1]])) if len(everything) else np.zeros(0, np.int64)
         counts = np.diff(np.append(start, len(everything)))
-        often = counts >= 3
-        tokens, counts = everything[start][often], counts[often]
-        hot_order, hot_cuts = B.split_by_part(tokens, parts)
-        for p in range(parts):
-            k, h = order[cuts[p] : cuts[p + 1]], hot_order[hot_cuts[p] : hot_cuts[p + 1]]
-            if len(k) or len(h):
-                yield p, block, np.int64(len(k)).tobytes() + high[k].tobytes() + low[k].tobytes() + own[k].tobytes() + B.planes(tokens[h]) + B.planes(counts[h].astype(np.uint64))
+        tokens, counts = everything[start][counts >= 3], counts[counts >= 3]
+        order, cuts = B.split_by_part(tokens, parts)
+        for p in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[p] : cuts[p + 1]]
+            yield int(p), block, B.planes(tokens[own]) + B.planes(counts[own].astype(np.uint64))
 
-    def split(raw):
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        rest = raw[8 + 24 * n :]
-        return (*(np.frombuffer(raw, d, n, 8 + 8 * n * i) for i, d in enumerate((np.uint64, np.uint64, np.int64))), B.from_planes(rest[: len(rest) // 2]), B.from_planes(rest[len(rest) // 2 :]))
+    def add(part, froms, payloads):
+        tokens, times = (np.concatenate([B.from_planes(x[: len(x) // 2] if k == 0 else x[len(x) // 2 :]) for x in payloads]) for k in (0, 1))
+        values, at = np.unique(tokens, return_inverse=True)
+        total = np.bincount(at, times.astype(float)).astype(np.int64)
+        keep = np.flatnonzero(total >= HOT_LEAST)
+        keep = keep[np.argsort(-total[keep], kind="stable")][:HOT_TOKENS]
+        yield values[keep].tobytes(), total[keep].tobytes()
 
-    def answer(part, froms, payloads):
-        found = [split(x) for x in payloads]
-        least: dict[tuple[int, int], int] = {}
-        for high, low, ids, _, _ in found:
-            for a, b, i in zip(high.tolist(), low.tolist(), ids.tolist(), strict=True):
-                least[a, b] = min(least.get((a, b), i), i)
-        for block, (high, low, _, _, _) in zip(froms, found, strict=True):
-            if len(high):
-                classes = [least[k] for k in zip(high.tolist(), low.tolist(), strict=True)]
-                yield block, high.tobytes() + low.tobytes() + np.array(classes, np.int64).tobytes(), None, None
-        tokens, counts = np.concatenate([x[3] for x in found]), np.concatenate([x[4] for x in found])
-        if len(tokens):
-            values, at = np.unique(tokens, return_inverse=True)
-            total = np.bincount(at, counts.astype(float))
-            keep = np.flatnonzero(total >= HOT_LEAST)
-            keep = keep[np.argsort(-total[keep], kind="stable")][:HOT_TOKENS]
-            yield None, None, values[keep].view(np.int64).tobytes(), total[keep].astype(np.int64).tobytes()
-
-    both = checkpointed(B.each_part(B.each_block(blocks, send, B.SENT_SCHEMA), answer, "block long, payload binary, hot binary, times binary"))
-    return both.where("block is not null").select("block", "payload"), both.where("hot is not null").select("hot", "times")
+    return B.each_part(B.each_block(blocks, send, B.SENT_SCHEMA), add, "hot binary, times binary")
 
 
 def _hot_tokens(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The ``HOT_TOKENS`` most frequent tokens, sorted by value, with their ranks: least frequent first."""
     tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for row in hot.toLocalIterator():
-        tokens = np.concatenate([tokens, np.frombuffer(row[0], np.int64).view(np.uint64)])
+        tokens = np.concatenate([tokens, np.frombuffer(row[0], np.uint64)])
         times = np.concatenate([times, np.frombuffer(row[1], np.int64)])
         keep = np.lexsort((tokens, -times))[:HOT_TOKENS]
         tokens, times = tokens[keep], times[keep]
@@ -152,76 +138,82 @@ def _hot_tokens(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rank[order]
 
 
-def _groups(rows: DataFrame, percent: int, group: int, parts: int) -> DataFrame:
-    """(doc_id, root) after linking the sets of ``rows`` (doc_id, meet, tokens) that meet, ``group`` at a time."""
+def _sets_of(pressed: list[bytes], width: int) -> list[np.ndarray]:
+    """Sets of texts on the way: hashing shingles again where a text arrives takes a third of the bytes of hashes."""
+    texts = [B.unpress(x) for x in pressed]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), starts, width)
+
+
+def _groups(rows: DataFrame, percent: int, width: int, group: int, parts: int) -> DataFrame:
+    """(doc_id, root, met) after linking the sets of ``rows`` (doc_id, meet, text) that meet, ``group`` at a time. All
+    pairs with one ``met`` have been compared."""
     large = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group)
-    salted = rows.join(large, "meet", "left").withColumn("_salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("_n") / group)))).select("doc_id", "meet", "_salt", "tokens", F.pmod(F.xxhash64("meet", "_salt"), F.lit(parts)).cast("int").alias("part"))
+    salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("_n") / group)))
+    salted = rows.join(large, "meet", "left").withColumn("_salt", salt).select("doc_id", "meet", "_salt", "text", F.xxhash64("meet", "_salt").alias("met")).withColumn("part", F.pmod("met", F.lit(parts)).cast("int"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, own in frame.groupby(["meet", "_salt"], sort=False):
+        for (_, _, met), own in frame.groupby(["meet", "_salt", "met"], sort=False):
+            own = own.sort_values("doc_id", kind="stable")
             ids = own["doc_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, raw = ids[order], own["tokens"].tolist()
-            links = link_sets([np.frombuffer(raw[k], np.uint64) for k in order], percent)
-            out.append(pd.DataFrame({"doc_id": ids, "root": ids[[links.find(k) for k in range(len(ids))]]}))
+            if len(ids) == 1:
+                out.append(pd.DataFrame({"doc_id": ids, "root": ids, "met": met}))
+                continue
+            links = link_sets(_sets_of(own["text"].tolist(), width), percent)
+            out.append(pd.DataFrame({"doc_id": ids, "root": ids[[links.find(k) for k in range(len(ids))]], "met": met}))
         return pd.concat(out)
 
-    return salted.groupBy("part").applyInPandas(run, "doc_id long, root long")
+    return salted.groupBy("part").applyInPandas(run, "doc_id long, root long, met long")
 
 
-def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = B.BLOCK_BYTES, group: int = GROUP) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id with the same set) and component_id of every document."""
-    blocks = B.pack(docs, block_bytes)
-    size = B.total_bytes(blocks)
-    parts, wide = B.part_count(size), B.key_bytes(size)
+def _classes_of(ids, sets, given):
+    """The class of each set: the least id with the same set; an empty set is a class of its own."""
+    found = {}
+    for raw in given:
+        n = len(raw) // 24
+        high, low, least = (np.frombuffer(raw, d, n, 8 * n * i).tolist() for i, d in enumerate((np.uint64, np.uint64, np.int64)))
+        found.update(zip(zip(high, low, strict=True), least, strict=True))
+    return [found[_digest(s)] if len(s) else i for i, s in zip(ids.tolist(), sets, strict=True)]
+
+
+def _meet(blocks: DataFrame, width: int, percent: int, parts: int, wide: int, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Every document with its set's size and class; with text and shared prefix tokens, if it stands for its class
+    and its prefix shares a token."""
     flag = np.uint64(1 << (64 - 8 * wide))
-    answers, hot_rows = _classes(blocks, parts, width)
-    hot, rank = _hot_tokens(hot_rows)
-
-    def classes_of(ids, sets, given):
-        found = {}
-        for raw in given:
-            n = len(raw) // 24
-            high, low, ids_ = (np.frombuffer(raw, d, n, 8 * n * i).tolist() for i, d in enumerate((np.uint64, np.uint64, np.int64)))
-            found.update(zip(zip(high, low, strict=True), ids_, strict=True))
-        return [found[_digest(s)] if len(s) else i for i, s in zip(ids.tolist(), sets, strict=True)]
-
-    def representatives(ids, sets, classes):
-        """One row of each class whose least id is here."""
-        seen = set()
-        for i, s, c in zip(ids.tolist(), sets, classes, strict=True):
-            if len(s) and i == c and (c, len(s)) not in seen:
-                seen.add((c, len(s)))
-                yield i, s
 
-    # classes are fixed; sets of representatives send the tokens of their prefixes
-    def send_prefixes(block, payload, given):
+    def send(block, payload):
         ids, starts, data = B.unpack(payload)
-        sets = shingle_sets(data, starts, width)
-        classes = classes_of(ids, sets, given)
-        members = np.stack([ids, np.array([len(s) for s in sets], np.int64), np.array(classes, np.int64)])
-        yield -1, block, members.tobytes()
-        prefixes = [_prefix(s, hot, rank, percent) for _, s in representatives(ids, sets, classes)]
-        if not prefixes:
+        least: dict[tuple[int, int], int] = {}
+        prefixes = []
+        for doc_id, s in zip(ids.tolist(), shingle_sets(data, starts, width), strict=True):
+            if len(s):
+                key = _digest(s)
+                if key not in least:
+                    prefixes.append(_prefix(s, hot, rank, percent))
+                least[key] = min(least.get(key, doc_id), doc_id)
+        if not least:
             return
+        high, low = (np.array([k[i] for k in least], np.uint64) for i in (0, 1))
+        own = np.array(list(least.values()), np.int64)
+        order, cuts = B.split_by_part(high, parts)
         found, counts = np.unique(np.concatenate(prefixes) // flag | np.uint64(1), return_counts=True)
-        found = (found ^ (counts > 1).astype(np.uint64)) * flag
-        order, cuts = B.split_by_part(found, parts)
-        for p in np.flatnonzero(np.diff(cuts)):
-            yield int(p), block, B.planes(found[order[cuts[p] : cuts[p + 1]]], wide)
-
-    sent = checkpointed(B.each_answered(blocks, answers, send_prefixes, B.SENT_SCHEMA))
-
-    def unpack_members(frames):
-        for frame in frames:
-            for raw in frame["payload"]:
-                yield pd.DataFrame(np.frombuffer(raw, np.int64).reshape(3, -1).T, columns=["doc_id", "n", "class_id"])
-
-    members = sent.where("part = -1").select("payload").mapInPandas(unpack_members, MEMBERS)
+        found = (found ^ (counts > 1).astype(np.uint64)) * flag  # an even value: more than once in this block
+        token_order, token_cuts = B.split_by_part(found, parts)
+        for p in range(parts):
+            k, t = order[cuts[p] : cuts[p + 1]], token_order[token_cuts[p] : token_cuts[p + 1]]
+            if len(k) or len(t):
+                yield p, block, np.int64(len(k)).tobytes() + high[k].tobytes() + low[k].tobytes() + own[k].tobytes() + B.planes(found[t], wide)
 
-    def shared_tokens(part, froms, payloads):
-        values = np.concatenate([B.from_planes(x, wide) for x in payloads])
+    def answer(part, froms, payloads):
+        sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in payloads]
+        digests = [tuple(np.frombuffer(x, d, n, 8 + 8 * n * i) for i, d in enumerate((np.uint64, np.uint64, np.int64))) for x, n in zip(payloads, sizes, strict=True)]
+        least: dict[tuple[int, int], int] = {}
+        for high, low, ids in digests:
+            for a, b, i in zip(high.tolist(), low.tolist(), ids.tolist(), strict=True):
+                least[a, b] = min(least.get((a, b), i), i)
+        tokens = [B.from_planes(x[8 + 24 * n :], wide) for x, n in zip(payloads, sizes, strict=True)]
+        values = np.concatenate(tokens)
         keys = values | flag
         order = np.argsort(keys, kind="stable")
         same = np.zeros(len(keys), bool)
@@ -229,89 +221,109 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
         same[:-1] |= same[1:]
         shared = (values & flag) == 0
         shared[order[same]] = True
-        ends = np.cumsum([len(x) // wide for x in payloads])
-        for block, end, raw in zip(froms, ends, payloads, strict=True):
-            own = keys[end - len(raw) // wide : end][shared[end - len(raw) // wide : end]]
-            if len(own):
-                yield block, B.planes(own, wide)
-
-    tokens_back = B.each_part(sent.where("part >= 0"), shared_tokens)
-    kinds = answers.select("block", F.concat(F.lit(b"c"), "payload").alias("payload")).unionByName(tokens_back.select("block", F.concat(F.lit(b"t"), "payload").alias("payload")))
-
-    def survivors(block, payload, given):
-        shared = [B.from_planes(x[1:], wide) for x in given if x[:1] == b"t"]
-        if not shared:
-            return
-        shared = np.sort(np.concatenate(shared))
+        at = 0
+        for block, (high, low, _), own in zip(froms, digests, tokens, strict=True):
+            back = keys[at : at + len(own)][shared[at : at + len(own)]]
+            at += len(own)
+            classes = [least[k] for k in zip(high.tolist(), low.tolist(), strict=True)]
+            yield block, np.int64(len(high)).tobytes() + high.tobytes() + low.tobytes() + np.array(classes, np.int64).tobytes() + B.planes(back, wide)
+
+    def documents(block, payload, given):
         ids, starts, data = B.unpack(payload)
         sets = shingle_sets(data, starts, width)
-        classes = classes_of(ids, sets, [x[1:] for x in given if x[:1] == b"c"])
-        for i, s in representatives(ids, sets, classes):
-            prefix = _prefix(s, hot, rank, percent)
-            own = prefix[member((prefix // flag | np.uint64(1)) * flag, shared)]
-            if len(own):
-                yield i, len(s), s.tobytes(), own.tobytes()
-
-    left = checkpointed(B.each_answered(blocks, kinds, survivors, SURVIVORS))
-    heavy = max(8, -(-left.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0] // B.PART_BYTES))
+        sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in given]
+        classes = _classes_of(ids, sets, [x[8 : 8 + 24 * n] for x, n in zip(given, sizes, strict=True)])
+        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(B.from_planes(x[8 + 24 * n :], wide) for x, n in zip(given, sizes, strict=True))]))
+        raw, seen = data.tobytes(), set()
+        for k, (i, s, c) in enumerate(zip(ids.tolist(), sets, classes, strict=True)):
+            text = own = None
+            if len(s) and i == c and (c, len(s)) not in seen:
+                seen.add((c, len(s)))
+                prefix = _prefix(s, hot, rank, percent)
+                prefix = _kept(prefix[member((prefix // flag | np.uint64(1)) * flag, shared)], len(s), percent)
+                if len(prefix):
+                    text, own = B.press(raw[starts[k] : starts[k + 1]]), prefix.tobytes()
+            yield i, len(s), c, text, own
+
+    return B.each_answered(blocks, B.each_part(B.each_block(blocks, send, B.SENT_SCHEMA), answer), documents, DOCUMENTS)
+
+
+def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block_bytes: int = B.BLOCK_BYTES, group: int = GROUP) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id with the same set) and component_id of every document."""
+    blocks = B.pack(docs, block_bytes)
+    size = B.total_bytes(blocks)
+    parts = B.part_count(size)
+    hot, rank = _hot_tokens(_frequent(blocks, parts, width))
+    every = checkpointed(_meet(blocks, width, percent, parts, B.key_bytes(size), hot, rank))
+    left = every.where("text is not null").select("doc_id", "n", "text", "shared")
+    heavy = max(8, -(-left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8 // B.PART_BYTES))
     # the first shared token is the meeting place
-    meeting = left.select("doc_id", F.expr("substring(shared, 1, 8)").alias("meet"), "tokens")
-    first = checkpointed(_groups(meeting, percent, group, heavy))
-    ones = first.where("doc_id = root").select("doc_id")
-    again = checkpointed(_groups(meeting.join(ones, "doc_id", "left_semi"), percent, group, heavy))
-    roots = checkpointed(first.join(again.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root").select("doc_id", F.col("top").alias("root")))
+    meeting = left.select("doc_id", F.expr("substring(shared, 1, 8)").alias("meet"), "text")
+    first = checkpointed(_groups(meeting, percent, width, group, heavy))
+    again = checkpointed(_groups(meeting.join(first.where("doc_id = root").select("doc_id"), "doc_id", "left_semi"), percent, width, group, heavy))
+    roots = checkpointed(first.join(again.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root").select("doc_id", F.col("top").alias("root"), "met"))
     held = left.join(roots, "doc_id")
 
     def send_bitmaps(frames):
         for frame in frames:
             rows = []
-            for doc_id, n, tokens, shared, root in frame[["doc_id", "n", "tokens", "shared", "root"]].itertuples(index=False):
-                s = np.frombuffer(tokens, np.uint64)
+            for (doc_id, n, shared, root, met), s in zip(frame[["doc_id", "n", "shared", "root", "met"]].itertuples(index=False), _sets_of(frame["text"].tolist(), width), strict=True):
                 own = np.frombuffer(shared, np.uint64)
                 raw = bitmap(s, bits_for(len(s))).tobytes()
                 to = (mix(own) % np.uint64(heavy)).astype(np.int64)
-                rows += [(int(p), doc_id, n, root, raw, own[to == p].tobytes()) for p in np.unique(to)]
-            yield pd.DataFrame(rows, columns=["part", "doc_id", "n", "root", "bits", "shared"])
+                rows += [(int(p), doc_id, n, root, met, raw, own[to == p].tobytes()) for p in np.unique(to)]
+            yield pd.DataFrame(rows, columns=["part", "doc_id", "n", "root", "met", "bits", "shared"])
 
-    postings = held.mapInPandas(send_bitmaps, "part int, doc_id long, n long, root long, bits binary, shared binary")
+    postings = held.mapInPandas(send_bitmaps, "part int, doc_id long, n long, root long, met long, bits binary, shared binary")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, roots_ = frame["doc_id"].tolist(), frame["n"].to_numpy(), frame["root"].tolist()
+        ids, sizes = frame["doc_id"].tolist(), frame["n"].to_numpy()
         maps = [np.frombuffer(x, np.uint64) for x in frame["bits"]]
         lists = [np.frombuffer(x, np.uint64) for x in frame["shared"]]
+        links = UnionFind(len(ids))
+        for column in ("root", "met"):  # linked, or compared already
+            first_of: dict[int, int] = {}
+            for k, value in enumerate(frame[column].tolist()):
+                links.join(k, first_of.setdefault(value, k))
         tokens, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
         cuts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-        done, pairs = set(), set()
+        pairs = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-            group_ = tuple(sorted(owner[a:b].tolist()))
-            if group_ in done or len({roots_[k] for k in group_}) < 2:
-                continue
-            done.add(group_)
-            for x, y in candidate_pairs([maps[k] for k in group_], sizes[list(group_)], [roots_[k] for k in group_], percent):
-                i, j = ids[group_[x]], ids[group_[y]]
-                pairs.add((min(i, j), max(i, j)))
-        return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype="int64")
+            if b - a > 1:
+                pairs += link_candidates(maps, sizes, owner[a:b].tolist(), links, percent)
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in pairs], columns=["a", "b"], dtype="int64")
 
     doubtful = checkpointed(postings.groupBy("part").applyInPandas(compare, "a long, b long").distinct())
-    sets_ = held.select("doc_id", "tokens", "root")
-    joined = doubtful.join(sets_.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"), F.col("root").alias("ra")), "a").join(sets_.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"), F.col("root").alias("rb")), "b")
-
-    def verify(frames):
-        for frame in frames:
-            keep = []
-            for x, y in zip(frame["x"], frame["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append((100 + percent) * np.intersect1d(x, y, assume_unique=True).size >= percent * (len(x) + len(y)))
-            yield frame.loc[np.array(keep, bool), ["ra", "rb"]].rename(columns={"ra": "a", "rb": "b"})
-
-    linked = connected_components(joined.select("x", "y", "ra", "rb").mapInPandas(verify, "a long, b long"))
-    tops = roots.join(linked.withColumnRenamed("node", "root"), "root", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("component", "root").alias("_top"))
+    # what may be linked through doubtful pairs, links and common meeting places is looked at once more as a whole
+    stars = roots.join(roots.groupBy("met").agg(F.min("doc_id").alias("_least")), "met").select(F.col("doc_id").alias("a"), F.col("_least").alias("b"))
+    areas = connected_components(doubtful.unionByName(stars).unionByName(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))))
+    # an area of one root is linked already, an area of one meeting place has been compared
+    whole = areas.withColumnRenamed("node", "doc_id").join(roots, "doc_id")
+    open_ = whole.groupBy("component").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.min("met").alias("_m"), F.max("met").alias("_n")).where("_r < _s and _m < _n").select("component")
+    again_ = checkpointed(areas.join(open_, "component", "left_semi"))
+    sizes_ = again_.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).alias("_chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(23)), F.col("_chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
+    placed = again_.join(sizes_, "component").withColumn("_c", chunk).withColumn("_o", other).select(F.col("node").alias("doc_id"), "component", F.least("_c", "_o").alias("_x"), F.greatest("_c", "_o").alias("_y"))
+    sent = placed.join(held.select("doc_id", "text", "root"), "doc_id").withColumn("part", F.pmod(F.xxhash64("component", "_x", "_y"), F.lit(heavy)).cast("int"))
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in frame.groupby(["component", "_x", "_y"], sort=False):
+            own = own.sort_values("doc_id", kind="stable")
+            ids, at = own["doc_id"].tolist(), {}
+            known = [at.setdefault(r, k) for k, r in enumerate(own["root"].tolist())]
+            links = link_sets(_sets_of(own["text"].tolist(), width), percent, known)
+            out += [(ids[k], ids[links.find(k)]) for k in range(len(ids)) if links.find(k) != k]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    settled = sent.groupBy("part").applyInPandas(settle, "a long, b long")
+    linked = connected_components(settled.unionByName(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))))
+    tops = linked.select(F.col("node").alias("class_id"), F.col("component").alias("_top"))
     moved = tops.where("class_id <> _top")
-    return members.join(moved, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_top", "class_id").alias("component_id"))
+    return every.select("doc_id", "n", "class_id").join(moved, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_top", "class_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -36,8 +36,8 @@ class UnionFind:
 
 
 def bits_for(n: int) -> int:
-    """Bits of the bitmap of a set of ``n`` tokens: a power of two, about two bits a token."""
-    return 1 << min(16, max(6, int(2 * n - 1).bit_length()))
+    """Bits of the bitmap of a set of ``n`` tokens: a power of two, two to four bits a token."""
+    return 1 << min(17, max(6, int(3 * n - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -131,12 +131,15 @@ def _known(tree: Tree, roots: Callable[[int], int]) -> Callable[[int, int, int,
     return same
 
 
-def link_sets(sets: list[np.ndarray], percent: int) -> UnionFind:
-    """Components of sets (sorted, distinct tokens) that are similar; verified, and passing over what is linked."""
+def link_sets(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> UnionFind:
+    """Components of sets (sorted, distinct tokens) that are similar; verified, and passing over what is linked.
+    ``known`` may name a set that each is linked with already."""
     links = UnionFind(len(sets))
+    for a, b in enumerate(known or ()):
+        links.join(a, b)
     if len(sets) > 1:
         sizes = np.array([len(s) for s in sets], np.int64)
-        bits = bits_for(int(sizes.max()))
+        bits = min(1 << 17, 4 * bits_for(int(sizes.max())))  # the sets are here, so bitmaps may be finer
         tree = Tree(np.stack([bitmap(s, bits) for s in sets]), sizes)
         for a, b in tree.pairs(percent, _known(tree, links.find)):
             if links.find(a) != links.find(b):
@@ -146,15 +149,19 @@ def link_sets(sets: list[np.ndarray], percent: int) -> UnionFind:
     return links
 
 
-def candidate_pairs(maps: list[np.ndarray], sizes: np.ndarray, roots: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of members with different roots that their bitmaps do not rule out. Bitmaps may differ in length: similar
-    sets' lengths differ by one step at most, so neighbouring lengths are compared at the smaller one."""
-    lengths = np.array([m.size for m in maps])
+def link_candidates(maps: list[np.ndarray], sizes: np.ndarray, members: list[int], links: UnionFind, percent: int) -> list[tuple[int, int]]:
+    """Join in ``links`` all ``members`` whose bitmaps do not rule out similarity; the pairs that made a difference.
+    Bitmaps may differ in length: similar sets' lengths differ by one step at most, so neighbouring lengths are compared
+    at the smaller one."""
+    found = []
+    lengths = np.array([maps[k].size for k in members])
     for n in np.unique(lengths):
-        own = np.flatnonzero((lengths == n) | (lengths == 2 * n))
-        if len(own) < 2 or len({roots[k] for k in own}) < 2:
+        own = [k for k, size in zip(members, lengths, strict=True) if size in (n, 2 * n)]
+        if len({links.find(k) for k in own}) < 2:
             continue
         tree = Tree(np.stack([fold(maps[k], int(n) * 64) for k in own]), sizes[own])
-        for a, b in tree.pairs(percent, _known(tree, lambda k, own=own: roots[own[k]])):
-            if roots[own[a]] != roots[own[b]]:
-                yield int(own[a]), int(own[b])
+        for a, b in tree.pairs(percent, _known(tree, lambda k, own=own: links.find(own[k]))):
+            if links.find(own[a]) != links.find(own[b]):
+                links.join(own[a], own[b])
+                found.append((own[a], own[b]))
+    return found
