@@ -176,7 +176,7 @@ def _compare(contexts: list[tuple], some: np.ndarray, valid: np.ndarray, out: np
             out[some[own], o] |= times[at] > 1
 
 
-def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = 100, keep_bytes: bool = True, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def remove_repeated(docs: DataFrame, width: int = WIDTH, gram: int = 100, keep_bytes: bool = True, block_bytes: int = B.BLOCK_BYTES // 2) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that stay."""
     if not 8 <= gram < width:
         raise ValueError("gram must be from 8 bytes to under width")
