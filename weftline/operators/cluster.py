@@ -17,6 +17,7 @@ from weftline.operators.aggregates import dominant
 from weftline.operators.components import connected_components
 from weftline.operators.joins import jaccard_pairs
 from weftline.operators.windows import latest_per_key
+from weftline.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -85,10 +86,11 @@ def template_groups(pages: DataFrame) -> DataFrame:
 
 def cluster(tokens: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(site, core, label) and the similar pairs (a, b, similarity). Labels are the least core site; null is noise."""
+    tokens = checkpointed(tokens)
     sites = tokens.select("site").distinct()
     if sites.count() > params.max_sites:
         raise ValueError(f"more than {params.max_sites} sites")
-    pairs = jaccard_pairs(tokens, "site", "token", 1e-12)
+    pairs = checkpointed(jaccard_pairs(tokens, "site", "token", 1e-12))
     near = pairs.where(F.col("similarity") >= params.min_similarity)
     both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
@@ -98,7 +100,7 @@ def cluster(tokens: DataFrame, params: Params = Params()) -> tuple[DataFrame, Da
     labels = core.join(parts, core.site == parts.node, "left").select("site", F.coalesce("component", "site").alias("label"))
     border = both.join(core.select(F.col("site").alias("a")), "a", "left_anti").join(labels.select(F.col("site").alias("b"), "label"), "b").groupBy(F.col("a").alias("site")).agg(F.min("label").alias("label"))
     rows = labels.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
-    return sites.join(rows, "site", "left").select("site", F.coalesce("core", F.lit(False)).alias("core"), "label"), pairs
+    return checkpointed(sites.join(rows, "site", "left").select("site", F.coalesce("core", F.lit(False)).alias("core"), "label")), pairs
 
 
 def assignments(clustered: DataFrame, pairs: DataFrame) -> DataFrame:
