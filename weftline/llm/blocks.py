@@ -29,6 +29,7 @@ LEVEL = 5
 CODEC = pa.Codec("zstd", compression_level=LEVEL)
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
+REWRITE_ROWS = 500
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
 SENT_SCHEMA = "part int, block long, payload binary"
 ANSWER_SCHEMA = "block long, payload binary"
@@ -83,17 +84,18 @@ def rewrite(docs: DataFrame, change: Callable[[list[str | None]], tuple[list[boo
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep, after = change(texts)
-            columns = list(batch.columns)
-            if any(a is not b for a, b in zip(texts, after, strict=True)):
-                columns[at] = pa.array(after, batch.schema.field(at).type)
-                if counted is not None:
-                    sizes = [n if a is b else len(b) for a, b, n in zip(texts, after, columns[counted].to_pylist(), strict=True)]
-                    columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
-            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield out if all(keep) else out.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(k, REWRITE_ROWS) for k in range(0, len(whole), REWRITE_ROWS)):
+                texts = batch.column(at).to_pylist()
+                keep, after = change(texts)
+                columns = list(batch.columns)
+                if any(a is not b for a, b in zip(texts, after, strict=True)):
+                    columns[at] = pa.array(after, batch.schema.field(at).type)
+                    if counted is not None:
+                        sizes = [n if a is b else len(b) for a, b, n in zip(texts, after, columns[counted].to_pylist(), strict=True)]
+                        columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
+                out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                yield out if all(keep) else out.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

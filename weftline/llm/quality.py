@@ -29,6 +29,7 @@ from weftline.llm.networks import TwoLayer
 
 WORDS, DIMS, NONZERO, REACH = 1 << 14, 48, 6, 2
 MAX_TRAIN = 8000
+SLICE_BYTES = 1 << 20  # of texts whose features are computed at once
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
@@ -128,7 +129,7 @@ class Classifier:
         out, at = [], 0
         ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + B.BLOCK_BYTES, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1)
             x = features(np.frombuffer(b"".join(texts[at:to]), np.uint8), ends[at : to + 1] - ends[at], self.table)
             out.append(self.network.scores(x) if self.network else np.full(to - at, 0.5))
             at = to
@@ -147,10 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((WORDS, DIMS), np.float32)
-        for frame in frames:
-            texts = [t.encode("utf-8") for t in frame["text"]]
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            total += context_sums(np.frombuffer(b"".join(texts), np.uint8), starts, index)
+        for whole in frames:
+            for k in range(0, len(whole), 200):
+                texts = [t.encode("utf-8") for t in whole["text"].iloc[k : k + 200]]
+                starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                total += context_sums(np.frombuffer(b"".join(texts), np.uint8), starts, index)
         yield pd.DataFrame({"sums": [total.tobytes()]})
 
     table = np.zeros((WORDS, DIMS), np.float32)
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Class
     table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-6
 
     def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (w.iloc[k : k + 200] for w in frames for k in range(0, len(w), 200)):
             texts = [t.encode("utf-8") for t in frame["text"]]
             starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             x = features(np.frombuffer(b"".join(texts), np.uint8), starts, table).astype(np.float32)
