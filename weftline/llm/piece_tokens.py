@@ -34,7 +34,8 @@ from weftline.llm import blocks as B
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_UNITS = 400_000
+CACHE_UNITS = 150_000
+LEARN_UNITS = 10_000  # encoded at once: the library keeps about a kilobyte for each
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -150,7 +151,11 @@ class Codec:
                 out.append(m.unknown)
         return out
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, every: list[str]) -> None:
+        for k in range(0, len(every), LEARN_UNITS):
+            self._learn_some(every[k : k + LEARN_UNITS])
+
+    def _learn_some(self, units: list[str]) -> None:
         odd = [u for u in units if u.startswith(MARK * 2) and self.model.kind == BPE]
         plain = [u for u in units if not (u.startswith(MARK * 2) and self.model.kind == BPE)]
         ids = [e.ids for e in self.backend.encode_batch_fast(plain, add_special_tokens=False)] + [self._spaced(u) for u in odd]
@@ -226,7 +231,7 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
         for whole in batches:
-            for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
+            for batch in (whole.slice(k, 250) for k in range(0, len(whole), 250)):
                 texts = batch.column(1).to_pylist()
                 ids, decoded = codec.encode(texts)
                 sizes = np.array([len(x) for x in ids], np.int64)
@@ -235,6 +240,7 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
                 digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
                 back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decoded]
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())], schema=arrow)
+        codec.cache.clear()  # workers are kept for other work
 
     return B.with_null_ids(B.plain(docs).mapInArrow(run, schema))
 
