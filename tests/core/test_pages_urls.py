@@ -60,6 +60,13 @@ def test_extraction(spark):
     assert got[0][1] == 3 and got[1][0] == 0 and got[0][2] == page["hash_link_set"]
 
 
+def test_large_page_is_whole():
+    body = "".join(f'<a href="/l{i}">x</a>' for i in range(3000)) + "".join(f'<img src="/i{i}.png">' for i in range(600)) + "<p></p>" * 50_000 + '<a href="/last">x</a>'
+    page = X.extract("https://x.example/p", f"<body>{body}</body>")
+    assert (len(page["links"]), len(page["media"]), page["truncated"]) == (3001, 600, [])
+    assert page["elements"] == 53_602 and page["links"][-1]["url"] == "https://x.example/last"
+
+
 def test_response_and_body_kinds(spark):
     rows = spark.createDataFrame([(200, "<div class=g-recaptcha>", "text/html"), (403, "Access Denied", "text/html"), (500, "x", ""), (200, "Please enable JavaScript", ""), (200, "fine", "video/mp4")], "status int, body string, kind string")
     assert [r[0] for r in rows.select(X.response_state(F.col("status"), F.col("body"))).collect()] == ["captcha", "blocked", "http_error", "needs_js", "ok"]

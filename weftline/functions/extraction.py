@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from weftline.functions.urls import AUDIO, IMAGE, MANIFEST, VIDEO, canonical
 
 VERSION = "extract/1"
-MAX_ELEMENTS, MAX_DEPTH, MAX_LINKS, MAX_MEDIA = 50_000, 400, 2_000, 500
+# The reference's own limits of links, media and elements; the depth only limits the number written into the shape.
+MAX_ELEMENTS, MAX_DEPTH, MAX_LINKS, MAX_MEDIA = 200_000, 400, 10_000, 1_000
 # Elements without an end tag, elements whose text is not shown, and boilerplate containers.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style noscript template head title".split())
