@@ -91,3 +91,15 @@ def test_one_of_each_group_stays(docs, corpus, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in rows if r.doc_id is not None} == want
     assert sum(r.doc_id is None for r in rows) == 2
     assert components(nothing).count() == 0 and keep_one(nothing).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Null ids are documents of their own, also with equally many shingles; texts of one id are one document."""
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a") + " x"), (2, text("b") + " x"), (3, text("c") + " x"), (None, text("a")), (None, text("b")), (None, text("c", 39)), (None, text("lone")), (None, text("lone") + " x"), (7, text("d")), (7, text("e")), (4, text("d") + " x"), (8, text("e") + " x")]
+    want = sorted([(1, 1), (2, 2), (3, 3), (B.NO_ID, 1), (B.NO_ID, 2), (B.NO_ID, 3), (B.NO_ID, B.NO_ID), (B.NO_ID, B.NO_ID), (7, 4), (7, 4), (4, 4), (8, 4)])
+    for options in ({}, {"block_bytes": 400, "group": 3}):
+        for slices in (1, 4):
+            frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(slices)
+            assert sorted((r.doc_id, r.component_id) for r in components(frame, **options).collect()) == want
+    assert {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect() if r.doc_id is not None} == {1, 2, 3, 4}

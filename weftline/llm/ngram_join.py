@@ -4,7 +4,8 @@ A document's set is its distinct shingles of ``width`` lower-cased words, as 64-
 100 * overlap >= ``percent`` * union. The result is the component of every document, not all pairs of a group of
 copies; no link between different sets is lost.
 
-1. Documents with equal sets form a class, found by a 128-bit digest of the set; only one of a class goes on.
+1. Documents with equal sets form a class, found by a 128-bit digest of the set; only one row of a class goes on. The
+   row's own key (block and place) is the class's node, so no step depends on ids.
 2. Prefix filter: two linked sets of sizes n and m have at least ceil(percent * n / 100) tokens in common, so the
    first n - ceil(percent * n / 100) + k tokens of each, in one fixed order of all tokens, have k tokens in common.
    The order puts frequent tokens last; k is an eighth of the set. Sets whose prefix shares fewer tokens with all
@@ -15,14 +16,14 @@ copies; no link between different sets is lost.
 4. What is left: every shared token's group goes through a signature tree of bitmaps alone; pairs that have not met and
    that the bound cannot rule out join areas of doubt. The sets of each area are fetched and compared as in step 3; an
    area of more than ``GROUP`` sets is cut in chunks, and each pair of chunks is compared.
-5. Components of the verified links, by alternating stars.
+5. Components of the verified links and of classes that share an id, by alternating stars.
 
 Steps 1 and 2 exchange packed arrays between blocks (``blocks``), so a token or a copy that a third of all documents
 share costs one entry a block.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer than ``width`` words
 make one shingle of the whole sequence; rows with equal ids are one document of the component, each with its own size;
-a null id stands after all others.
+a null id stands after all others, and rows with null ids are documents of their own.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ WIDTH, PERCENT = 5, 75
 GROUP = 1000
 HOT_TOKENS = 1 << 16  # the order of tokens knows so many frequent ones; the order changes cost, never results
 HOT_LEAST = 32
-DOCUMENTS = "doc_id long, n long, class_id long, text binary, shared binary"
+CLASS_TYPES = (np.uint64, np.uint64, np.int64, np.int64)  # digest, least id, least node
+DOCUMENTS = "doc_id long, n long, class_id long, node long, text binary, shared binary"
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -69,6 +71,14 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.add.reduce(mix(s + np.uint64(len(s))))), int(np.bitwise_xor.reduce(mix(s * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))))
 
 
+def _node(block: int, k: int) -> int:
+    """A key of its own for each row, of its block (partition, place in it) and its place in the block."""
+    partition, seq = block >> 32, block & 0xFFFFFFFF
+    if partition >> 20 or seq >> 20 or k >> 23:
+        raise OverflowError(f"no key for row {k} of block {block}")
+    return partition << 43 | seq << 23 | k
+
+
 def _common(n: int) -> int:
     """So many tokens at least are common to the prefixes of two linked sets of ``n`` tokens or more."""
     return 1 + n // 8
@@ -146,56 +156,57 @@ def _sets_of(pressed: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def _groups(rows: DataFrame, percent: int, width: int, group: int, parts: int) -> DataFrame:
-    """(doc_id, root, met) after linking the sets of ``rows`` (doc_id, meet, text) that meet, ``group`` at a time. All
+    """(node, root, met) after linking the sets of ``rows`` (node, meet, text) that meet, ``group`` at a time. All
     pairs with one ``met`` have been compared."""
     large = rows.groupBy("meet").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group)
-    salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.ceil(F.col("_n") / group)))
-    salted = rows.join(large, "meet", "left").withColumn("_salt", salt).select("doc_id", "meet", "_salt", "text", F.xxhash64("meet", "_salt").alias("met")).withColumn("part", F.pmod("met", F.lit(parts)).cast("int"))
+    salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(17)), F.ceil(F.col("_n") / group)))
+    salted = rows.join(large, "meet", "left").withColumn("_salt", salt).select("node", "meet", "_salt", "text", F.xxhash64("meet", "_salt").alias("met")).withColumn("part", F.pmod("met", F.lit(parts)).cast("int"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, _, met), own in frame.groupby(["meet", "_salt", "met"], sort=False):
-            own = own.sort_values("doc_id", kind="stable")
-            ids = own["doc_id"].to_numpy()
+            own = own.sort_values("node", kind="stable")
+            ids = own["node"].to_numpy()
             if len(ids) == 1:
-                out.append(pd.DataFrame({"doc_id": ids, "root": ids, "met": met}))
+                out.append(pd.DataFrame({"node": ids, "root": ids, "met": met}))
                 continue
             links = link_sets(_sets_of(own["text"].tolist(), width), percent)
-            out.append(pd.DataFrame({"doc_id": ids, "root": ids[[links.find(k) for k in range(len(ids))]], "met": met}))
+            out.append(pd.DataFrame({"node": ids, "root": ids[[links.find(k) for k in range(len(ids))]], "met": met}))
         return pd.concat(out)
 
-    return salted.groupBy("part").applyInPandas(run, "doc_id long, root long, met long")
+    return salted.groupBy("part").applyInPandas(run, "node long, root long, met long")
 
 
-def _classes_of(ids, sets, given):
-    """The class of each set: the least id with the same set; an empty set is a class of its own."""
+def _classes_of(ids, nodes, sets, given):
+    """The class of each set: the least id with the same set and the class's node; an empty set is a class of its own."""
     found = {}
     for raw in given:
-        n = len(raw) // 24
-        high, low, least = (np.frombuffer(raw, d, n, 8 * n * i).tolist() for i, d in enumerate((np.uint64, np.uint64, np.int64)))
-        found.update(zip(zip(high, low, strict=True), least, strict=True))
-    return [found[_digest(s)] if len(s) else i for i, s in zip(ids.tolist(), sets, strict=True)]
+        n = len(raw) // 32
+        high, low, least, node = (np.frombuffer(raw, d, n, 8 * n * i).tolist() for i, d in enumerate(CLASS_TYPES))
+        found.update(zip(zip(high, low, strict=True), zip(least, node, strict=True), strict=True))
+    return [found[_digest(s)] if len(s) else (i, node) for i, node, s in zip(ids, nodes, sets, strict=True)]
 
 
 def _meet(blocks: DataFrame, width: int, percent: int, parts: int, wide: int, hot: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """Every document with its set's size and class; with text and shared prefix tokens, if it stands for its class
-    and its prefix shares a token."""
+    """Every document with its set's size, class and the class's node; with text and shared prefix tokens, if it stands
+    for its class and its prefix shares a token."""
     flag = np.uint64(1 << (64 - 8 * wide))
 
     def send(block, payload):
         ids, starts, data = B.unpack(payload)
         least: dict[tuple[int, int], int] = {}
-        prefixes = []
-        for doc_id, s in zip(ids.tolist(), shingle_sets(data, starts, width), strict=True):
+        nodes, prefixes = [], []
+        for k, (doc_id, s) in enumerate(zip(ids.tolist(), shingle_sets(data, starts, width), strict=True)):
             if len(s):
                 key = _digest(s)
                 if key not in least:
+                    nodes.append(_node(block, k))
                     prefixes.append(_prefix(s, hot, rank, percent))
                 least[key] = min(least.get(key, doc_id), doc_id)
         if not least:
             return
         high, low = (np.array([k[i] for k in least], np.uint64) for i in (0, 1))
-        own = np.array(list(least.values()), np.int64)
+        own, nodes = np.array(list(least.values()), np.int64), np.array(nodes, np.int64)
         order, cuts = B.split_by_part(high, parts)
         found, counts = np.unique(np.concatenate(prefixes) // flag | np.uint64(1), return_counts=True)
         found = (found ^ (counts > 1).astype(np.uint64)) * flag  # an even value: more than once in this block
@@ -203,16 +214,17 @@ def _meet(blocks: DataFrame, width: int, percent: int, parts: int, wide: int, ho
         for p in range(parts):
             k, t = order[cuts[p] : cuts[p + 1]], token_order[token_cuts[p] : token_cuts[p + 1]]
             if len(k) or len(t):
-                yield p, block, np.int64(len(k)).tobytes() + high[k].tobytes() + low[k].tobytes() + own[k].tobytes() + B.planes(found[t], wide)
+                yield p, block, np.int64(len(k)).tobytes() + high[k].tobytes() + low[k].tobytes() + own[k].tobytes() + nodes[k].tobytes() + B.planes(found[t], wide)
 
     def answer(part, froms, payloads):
         sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in payloads]
-        digests = [tuple(np.frombuffer(x, d, n, 8 + 8 * n * i) for i, d in enumerate((np.uint64, np.uint64, np.int64))) for x, n in zip(payloads, sizes, strict=True)]
-        least: dict[tuple[int, int], int] = {}
-        for high, low, ids in digests:
-            for a, b, i in zip(high.tolist(), low.tolist(), ids.tolist(), strict=True):
-                least[a, b] = min(least.get((a, b), i), i)
-        tokens = [B.from_planes(x[8 + 24 * n :], wide) for x, n in zip(payloads, sizes, strict=True)]
+        digests = [tuple(np.frombuffer(x, d, n, 8 + 8 * n * i) for i, d in enumerate(CLASS_TYPES)) for x, n in zip(payloads, sizes, strict=True)]
+        least: dict[tuple[int, int], tuple[int, int]] = {}
+        for high, low, ids, nodes in digests:
+            for a, b, i, node in zip(high.tolist(), low.tolist(), ids.tolist(), nodes.tolist(), strict=True):
+                before = least.get((a, b), (i, node))
+                least[a, b] = min(before[0], i), min(before[1], node)
+        tokens = [B.from_planes(x[8 + 32 * n :], wide) for x, n in zip(payloads, sizes, strict=True)]
         values = np.concatenate(tokens)
         keys = values | flag
         order = np.argsort(keys, kind="stable")
@@ -222,28 +234,28 @@ def _meet(blocks: DataFrame, width: int, percent: int, parts: int, wide: int, ho
         shared = (values & flag) == 0
         shared[order[same]] = True
         at = 0
-        for block, (high, low, _), own in zip(froms, digests, tokens, strict=True):
+        for block, (high, low, _, _), own in zip(froms, digests, tokens, strict=True):
             back = keys[at : at + len(own)][shared[at : at + len(own)]]
             at += len(own)
-            classes = [least[k] for k in zip(high.tolist(), low.tolist(), strict=True)]
-            yield block, np.int64(len(high)).tobytes() + high.tobytes() + low.tobytes() + np.array(classes, np.int64).tobytes() + B.planes(back, wide)
+            classes = np.array([least[k] for k in zip(high.tolist(), low.tolist(), strict=True)], np.int64).reshape(-1, 2).T
+            yield block, np.int64(len(high)).tobytes() + high.tobytes() + low.tobytes() + classes.tobytes() + B.planes(back, wide)
 
     def documents(block, payload, given):
         ids, starts, data = B.unpack(payload)
         sets = shingle_sets(data, starts, width)
         sizes = [int(np.frombuffer(x, np.int64, 1)[0]) for x in given]
-        classes = _classes_of(ids, sets, [x[8 : 8 + 24 * n] for x, n in zip(given, sizes, strict=True)])
-        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(B.from_planes(x[8 + 24 * n :], wide) for x, n in zip(given, sizes, strict=True))]))
-        raw, seen = data.tobytes(), set()
-        for k, (i, s, c) in enumerate(zip(ids.tolist(), sets, classes, strict=True)):
+        nodes = [_node(block, k) for k in range(len(ids))]
+        classes = _classes_of(ids.tolist(), nodes, sets, [x[8 : 8 + 32 * n] for x, n in zip(given, sizes, strict=True)])
+        shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(B.from_planes(x[8 + 32 * n :], wide) for x, n in zip(given, sizes, strict=True))]))
+        raw = data.tobytes()
+        for k, (i, s, (c, node)) in enumerate(zip(ids.tolist(), sets, classes, strict=True)):
             text = own = None
-            if len(s) and i == c and (c, len(s)) not in seen:
-                seen.add((c, len(s)))
+            if len(s) and nodes[k] == node:
                 prefix = _prefix(s, hot, rank, percent)
                 prefix = _kept(prefix[member((prefix // flag | np.uint64(1)) * flag, shared)], len(s), percent)
                 if len(prefix):
                     text, own = B.press(raw[starts[k] : starts[k + 1]]), prefix.tobytes()
-            yield i, len(s), c, text, own
+            yield i, len(s), c, node, text, own
 
     return B.each_answered(blocks, B.each_part(B.each_block(blocks, send, B.SENT_SCHEMA), answer), documents, DOCUMENTS)
 
@@ -255,29 +267,29 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
     parts = B.part_count(size)
     hot, rank = _hot_tokens(_frequent(blocks, parts, width))
     every = checkpointed(_meet(blocks, width, percent, parts, B.key_bytes(size), hot, rank))
-    left = every.where("text is not null").select("doc_id", "n", "text", "shared")
+    left = every.where("text is not null").select("node", "n", "text", "shared")
     heavy = max(8, -(-left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 8 // B.PART_BYTES))
     # the first shared token is the meeting place
-    meeting = left.select("doc_id", F.expr("substring(shared, 1, 8)").alias("meet"), "text")
+    meeting = left.select("node", F.expr("substring(shared, 1, 8)").alias("meet"), "text")
     first = checkpointed(_groups(meeting, percent, width, group, heavy))
-    again = checkpointed(_groups(meeting.join(first.where("doc_id = root").select("doc_id"), "doc_id", "left_semi"), percent, width, group, heavy))
-    roots = checkpointed(first.join(again.select(F.col("doc_id").alias("root"), F.col("root").alias("top")), "root").select("doc_id", F.col("top").alias("root"), "met"))
-    held = left.join(roots, "doc_id")
+    again = checkpointed(_groups(meeting.join(first.where("node = root").select("node"), "node", "left_semi"), percent, width, group, heavy))
+    roots = checkpointed(first.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root"), "met"))
+    held = left.join(roots, "node")
 
     def send_bitmaps(frames):
         for frame in frames:
             rows = []
-            for (doc_id, n, shared, root, met), s in zip(frame[["doc_id", "n", "shared", "root", "met"]].itertuples(index=False), _sets_of(frame["text"].tolist(), width), strict=True):
+            for (node, n, shared, root, met), s in zip(frame[["node", "n", "shared", "root", "met"]].itertuples(index=False), _sets_of(frame["text"].tolist(), width), strict=True):
                 own = np.frombuffer(shared, np.uint64)
                 raw = bitmap(s, bits_for(len(s))).tobytes()
                 to = (mix(own) % np.uint64(heavy)).astype(np.int64)
-                rows += [(int(p), doc_id, n, root, met, raw, own[to == p].tobytes()) for p in np.unique(to)]
-            yield pd.DataFrame(rows, columns=["part", "doc_id", "n", "root", "met", "bits", "shared"])
+                rows += [(int(p), node, n, root, met, raw, own[to == p].tobytes()) for p in np.unique(to)]
+            yield pd.DataFrame(rows, columns=["part", "node", "n", "root", "met", "bits", "shared"])
 
-    postings = held.mapInPandas(send_bitmaps, "part int, doc_id long, n long, root long, met long, bits binary, shared binary")
+    postings = held.mapInPandas(send_bitmaps, "part int, node long, n long, root long, met long, bits binary, shared binary")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes = frame["doc_id"].tolist(), frame["n"].to_numpy()
+        ids, sizes = frame["node"].tolist(), frame["n"].to_numpy()
         maps = [np.frombuffer(x, np.uint64) for x in frame["bits"]]
         lists = [np.frombuffer(x, np.uint64) for x in frame["shared"]]
         links = UnionFind(len(ids))
@@ -297,33 +309,38 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
 
     doubtful = checkpointed(postings.groupBy("part").applyInPandas(compare, "a long, b long").distinct())
     # what may be linked through doubtful pairs, links and common meeting places is looked at once more as a whole
-    stars = roots.join(roots.groupBy("met").agg(F.min("doc_id").alias("_least")), "met").select(F.col("doc_id").alias("a"), F.col("_least").alias("b"))
-    areas = connected_components(doubtful.unionByName(stars).unionByName(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))))
+    stars = roots.join(roots.groupBy("met").agg(F.min("node").alias("_least")), "met").select(F.col("node").alias("a"), F.col("_least").alias("b"))
+    areas = connected_components(doubtful.unionByName(stars).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     # an area of one root is linked already, an area of one meeting place has been compared
-    whole = areas.withColumnRenamed("node", "doc_id").join(roots, "doc_id")
+    whole = areas.join(roots, "node")
     open_ = whole.groupBy("component").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.min("met").alias("_m"), F.max("met").alias("_n")).where("_r < _s and _m < _n").select("component")
     again_ = checkpointed(areas.join(open_, "component", "left_semi"))
     sizes_ = again_.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / group).alias("_chunks"))
     chunk = F.pmod(F.xxhash64("node", F.lit(23)), F.col("_chunks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    placed = again_.join(sizes_, "component").withColumn("_c", chunk).withColumn("_o", other).select(F.col("node").alias("doc_id"), "component", F.least("_c", "_o").alias("_x"), F.greatest("_c", "_o").alias("_y"))
-    sent = placed.join(held.select("doc_id", "text", "root"), "doc_id").withColumn("part", F.pmod(F.xxhash64("component", "_x", "_y"), F.lit(heavy)).cast("int"))
+    placed = again_.join(sizes_, "component").withColumn("_c", chunk).withColumn("_o", other).select("node", "component", F.least("_c", "_o").alias("_x"), F.greatest("_c", "_o").alias("_y"))
+    sent = placed.join(held.select("node", "text", "root"), "node").withColumn("part", F.pmod(F.xxhash64("component", "_x", "_y"), F.lit(heavy)).cast("int"))
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in frame.groupby(["component", "_x", "_y"], sort=False):
-            own = own.sort_values("doc_id", kind="stable")
-            ids, at = own["doc_id"].tolist(), {}
+            own = own.sort_values("node", kind="stable")
+            ids, at = own["node"].tolist(), {}
             known = [at.setdefault(r, k) for k, r in enumerate(own["root"].tolist())]
             links = link_sets(_sets_of(own["text"].tolist(), width), percent, known)
             out += [(ids[k], ids[links.find(k)]) for k in range(len(ids)) if links.find(k) != k]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     settled = sent.groupBy("part").applyInPandas(settle, "a long, b long")
-    linked = connected_components(settled.unionByName(roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))))
-    tops = linked.select(F.col("node").alias("class_id"), F.col("component").alias("_top"))
-    moved = tops.where("class_id <> _top")
-    return every.select("doc_id", "n", "class_id").join(moved, "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_top", "class_id").alias("component_id"))
+    # rows with equal ids are one document: the classes of an id are linked
+    held_by = every.where(f"n > 0 and doc_id <> {int(B.NO_ID)}L").select("doc_id", "node").distinct()
+    several = held_by.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last")
+    same_id = held_by.join(several, "doc_id").select(F.col("node").alias("a"), "b")
+    linked = connected_components(settled.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionByName(same_id))
+    placed = linked.join(every.groupBy("node").agg(F.min("class_id").alias("class_id")), "node")
+    tops = placed.groupBy("component").agg(F.min("class_id").alias("_top"))
+    moved = placed.join(tops, "component").where("class_id <> _top").select("node", "_top")
+    return every.select("doc_id", "n", "class_id", "node").join(moved, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("_top", "class_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
