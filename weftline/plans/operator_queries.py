@@ -57,6 +57,11 @@ def _token_pairs(part):
     return J.jaccard_pairs(tokens, "p_partkey", "token", 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def _all_token_pairs(part):
+    tokens = part.select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand", "p_type"), " ")).alias("token"))
+    return J.jaccard_prefix_pairs(tokens, "p_partkey", "token", 60).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def _components(lineitem):
     edges = lineitem.where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
     return connected_components(edges)
@@ -117,6 +122,7 @@ QUERIES: dict = {
     "join_as_of": _q2("events", "region", _as_of),
     "join_within_interval": _q2("events", "region", _interval),
     "join_token_jaccard": _q("part", _token_pairs),
+    "join_token_jaccard_whole": _q("part", _all_token_pairs),
     "join_correlation_chain": _q("events", _correlated),
     "join_revision_pairs": _q("events", lambda e: e.alias("a").join(e.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.event_type") != F.col("b.event_type"))).select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))),
     "connected_components": _q("lineitem", _components),
