@@ -67,6 +67,10 @@ def _components(lineitem):
     return connected_components(edges)
 
 
+def _all_components(lineitem):
+    return connected_components(lineitem.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")))
+
+
 def _union_endpoints(a, b):
     return a.select(F.col("n_nationkey").alias("k")).union(b.select("r_regionkey")).distinct()
 
@@ -126,6 +130,7 @@ QUERIES: dict = {
     "join_correlation_chain": _q("events", _correlated),
     "join_revision_pairs": _q("events", lambda e: e.alias("a").join(e.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.ts") == F.col("b.ts")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.event_type") != F.col("b.event_type"))).select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"))),
     "connected_components": _q("lineitem", _components),
+    "connected_components_whole": _q("lineitem", _all_components),
     "window_latest_per_key": _q("orders", _latest_order),
     "window_transitions": _q("events", _escalations),
     "window_visits": _q("events", lambda e: W.visit_windows(e, ["user_id"], "ts", 6 * 3600).select("user_id", "window_index", F.col("started_at").cast("timestamp_ntz").cast("string").alias("started_at"), "visits")),
@@ -162,6 +167,7 @@ QUERIES: dict = {
     "sample_by_hash": _q("orders", lambda o: S.hash_sample(o, "o_orderkey", 100, 7).select("o_orderkey")),
     "sample_parity_split": _q("orders", lambda o: S.split_by_parity(o, "o_orderkey").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"))),
     "sample_stratified": _q("pages", _stratified),
+    "sort_nulls_last_whole": _q("events", lambda e: e.select("event_id", F.when(F.col("value") > 50, F.col("value")).alias("v")).orderBy(F.asc_nulls_last("v"), "event_id").select("event_id", F.round("v", 6).alias("v"))),
     "sort_nulls_last": _q("events", lambda e: e.select("event_id", F.when(F.col("value") > 50, F.col("value")).alias("v")).orderBy(F.asc_nulls_last("v"), "event_id").limit(50).select("event_id", F.round("v", 6).alias("v"))),
 }
 QUERIES["filter_predicates"] = _q("lineitem", lambda r: r.where("l_shipdate >= timestamp_ntz '1995-01-01' and l_shipdate < timestamp_ntz '1996-01-01' and l_quantity between 5 and 9 and l_returnflag <> 'N'").select("l_orderkey", "l_linenumber", "l_quantity"))
