@@ -1,18 +1,21 @@
 """Operator 4, SentencePiece encoding and decoding with the tokenizers library.
 
-The model file's protobuf is parsed here: pieces with scores and types, the normaliser's options, byte fallback. From
-these a ``tokenizers`` model is rebuilt: for a BPE model, merges are all splits of a piece in two pieces, ordered by
-the piece's score; for a unigram model, the scores themselves. White space becomes the metaspace marker, with a dummy
-prefix where the model asks for it; characters without a piece fall back to bytes.
+The model file's protobuf is parsed here: pieces with scores and types, the normaliser's options and character map, byte
+fallback. From these a ``tokenizers`` model is rebuilt: for a BPE model, merges are all splits of a piece in two pieces,
+ordered by the piece's score; for a unigram model, the scores themselves. Text goes through the character map, white
+space becomes the metaspace marker, with a dummy prefix where the model asks for it; the user's own pieces are cut out
+first and never merged; characters without a piece fall back to bytes. Decoding puts the pieces' bytes in a row.
 
 No piece holds a marker after another character (checked when the model is read), so merges never cross the start of
 a marker run, and a text's tokens are those of its units: a run of markers and what follows up to the next one. Each
-batch's new units are encoded at once, on all threads the library has, and kept in a bounded cache; a text is put
-together from its units. Models for which the check fails encode whole texts. Runs of several markers, whose merges tie
-in score, take the leftmost merge first as SentencePiece does.
-
-Defined results: null and empty texts have no tokens; decoding gives the normalised text back, except that a marker
-character in the text itself comes back as a space.
+batch's new units are encoded at once, on all threads the library has, and kept in a cache that is bounded in units and
+characters and lives as long as its worker; a text is put together from its units. Models for which the check fails
+encode whole texts. In runs of several markers merges tie in score; these are merged here, the leftmost first as
+SentencePiece does. Models with unused pieces, and kinds other than BPE and unigram, are refused.
+
+Defined results: null and empty texts have no tokens; rows with equal ids or texts are kept, each with the same result;
+texts of any length are encoded whole, a longer one than ``BATCH_CHARS`` in a batch of its own; decoding gives the
+normalised text back, except that a marker character in the text itself comes back as a space.
 """
 
 from __future__ import annotations
@@ -21,21 +24,24 @@ import hashlib
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-from tokenizers import Tokenizer, decoders, models
+from tokenizers import Tokenizer, models, normalizers
 
 from weftline.llm import blocks as B
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_UNITS = 150_000
-LEARN_UNITS = 10_000  # encoded at once: the library keeps about a kilobyte for each
+CACHE_UNITS, CACHE_CHARS = 250_000, 8_000_000
+LEARN_UNITS = 4_000  # encoded at once: the library keeps about a kilobyte for each
+BATCH_CHARS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -85,15 +91,18 @@ class PieceModel:
             elif field == 3:
                 normaliser = dict(_fields(value))
         self.kind = trainer.get(3, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE) or UNUSED in self.types:
+            raise ValueError("only BPE and unigram models without unused pieces are supported")
         self.byte_fallback = bool(trainer.get(35, 0))
         self.dummy_prefix = bool(normaliser.get(3, 1))
         self.collapse = bool(normaliser.get(4, 1))
-        self.charsmap = normaliser.get(2, b"")
-        if self.charsmap:
-            raise ValueError("a precompiled character map is not supported")
+        charsmap = normaliser.get(2, b"")
+        self.charsmap = normalizers.Precompiled(charsmap) if charsmap else None
         self.ids = {p: i for i, p in enumerate(self.pieces)}
         self.unknown = self.types.index(UNKNOWN)
-        self.usable = {p: i for p, i in self.ids.items() if self.types[i] in (NORMAL, USER)}
+        self.user = {p: i for p, i in self.ids.items() if self.types[i] == USER}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")").split if self.user else None
+        self.usable = {p: i for p, i in self.ids.items() if self.types[i] == NORMAL}
         self.by_unit = not any(MARK in p.lstrip(MARK) for p in self.usable)
 
     def tokenizer(self) -> Tokenizer:
@@ -104,14 +113,21 @@ class PieceModel:
                     if piece[:cut] in self.usable and piece[cut:] in self.usable:
                         merges.append((-self.scores[i], i, cut, piece[:cut], piece[cut:]))
             merges.sort(key=lambda m: (m[0], m[1], self.usable[m[3]], self.usable[m[4]]))
-            model = models.BPE(vocab=self.ids, merges=[(a, b) for *_, a, b in merges], unk_token=self.pieces[self.unknown], byte_fallback=self.byte_fallback, fuse_unk=True)
-        else:
-            model = models.Unigram(list(zip(self.pieces, self.scores, strict=True)), self.unknown, self.byte_fallback)
-        out = Tokenizer(model)
-        out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
-        return out
+            return Tokenizer(models.BPE(vocab=self.ids, merges=[(a, b) for *_, a, b in merges], unk_token=self.pieces[self.unknown], byte_fallback=self.byte_fallback, fuse_unk=True))
+        # pieces that no text may match get names that no text holds, and a score that leaves the least one as it is
+        top = max(self.scores[i] for i in self.usable.values())
+        rows = [(p, s) if self.types[i] == NORMAL else (f"\U0010ffff{i}", top) for i, (p, s) in enumerate(zip(self.pieces, self.scores, strict=True))]
+        return Tokenizer(models.Unigram(rows, self.unknown, False))
+
+    def _mapped(self, text: str) -> str:
+        if not self.charsmap:
+            return text
+        if not self.cut:
+            return self.charsmap.normalize_str(text)
+        return "".join(t if k % 2 else self.charsmap.normalize_str(t) for k, t in enumerate(self.cut(text)))
 
     def normalise(self, text: str) -> str:
+        text = self._mapped(text)
         if self.collapse:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
@@ -121,93 +137,138 @@ class PieceModel:
 
 
 class Codec:
-    """Encoder and decoder of batches."""
+    """Encoder and decoder of batches. Units that were seen have a slot; a slot's ids are a stretch of one array."""
 
     def __init__(self, raw: bytes):
-        self.model = PieceModel(raw)
-        self.backend = self.model.tokenizer()
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.model = m = PieceModel(raw)
+        self.backend = m.tokenizer()
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-
-    def _leftmost(self, unit: str) -> list[int]:
-        """SentencePiece's own rule: the best score first, among equals the leftmost."""
-        parts, m = list(unit), self.model
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = m.usable.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or m.scores[k] > best):
-                    best, at = m.scores[k], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        plain = [(b"" if t == CONTROL else " \u2047 ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode("utf-8")) for p, t in zip(m.pieces, m.types, strict=True)]
+        self.piece_ends = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
+        self.piece_bytes = np.frombuffer(b"".join(plain), np.uint8)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.flat, self.ends, self.chars = array("i"), array("q", [0]), 0
+        for u, k in self.model.user.items():
+            self.slots[u] = len(self.flat)
+            self.flat.append(k)
+            self.ends.append(len(self.flat))
+
+    def _fallback(self, text: str) -> list[int]:
+        m = self.model
+        return [m.ids[f"<0x{b:02X}>"] for b in text.encode("utf-8")] if m.byte_fallback else [m.unknown]
+
+    def _merged(self, unit: str) -> list[int]:
+        """SentencePiece's own rule for BPE: the best score first, among equals the leftmost."""
+        usable, scores = self.model.usable, self.model.scores
+        parts, left, right = list(unit), list(range(-1, len(unit) - 1)), list(range(1, len(unit) + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            both = parts[i] + parts[j]
+            if (k := usable.get(both)) is not None:
+                heappush(heap, (-scores[k], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, both = heappop(heap)
+            j = right[i]
+            if j >= len(parts) or not parts[i] or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j], right[i] = both, "", right[j]
+            if right[i] < len(parts):
+                left[right[i]] = i
+                offer(i, right[i])
+            if left[i] >= 0:
+                offer(left[i], i)
         out: list[int] = []
-        for p in parts:
-            if (k := m.usable.get(p)) is not None:
-                out.append(k)
-            elif m.byte_fallback:
-                out += [m.ids[f"<0x{b:02X}>"] for b in p.encode("utf-8")]
-            else:
-                out.append(m.unknown)
+        for p in filter(None, parts):
+            k = usable.get(p)
+            found = [k] if k is not None else self._fallback(p)
+            if not (found == out[-1:] == [self.model.unknown]):
+                out += found
+        return out
+
+    def _encoded(self, units: list[str]) -> list[list[int]]:
+        """Ids of units, all threads of the library at work. Runs of several markers are merged here: in them equal
+        scores meet, which the library settles in another order."""
+        if self.model.kind == BPE:
+            ids = [e.ids for e in self.backend.encode_batch_fast(units, add_special_tokens=False)]
+            for k, u in enumerate(units):
+                if MARK * 2 in u:
+                    ids[k] = self._merged(u)
+            return ids
+        out = []
+        for u, e in zip(units, self.backend.encode_batch(units, add_special_tokens=False), strict=True):
+            ids = e.ids
+            if self.model.unknown in ids:
+                ids = list(chain.from_iterable(self._fallback(u[a:b]) if k == self.model.unknown else [k] for k, (a, b) in zip(ids, e.offsets, strict=True)))
+            out.append(ids)
+        return out
+
+    def _learn(self, units: list[str]) -> None:
+        for k in range(0, len(units), LEARN_UNITS):
+            some = units[k : k + LEARN_UNITS]
+            for u, ids in zip(some, self._encoded(some), strict=True):
+                self.slots[u] = len(self.ends) - 1
+                self.flat.extend(ids)
+                self.ends.append(len(self.flat))
+                self.chars += len(u)
+
+    def _split(self, text: str) -> list[str]:
+        text = self.model.normalise(text)
+        if not self.model.cut:
+            return self.unit(text) if self.model.by_unit else [text] if text else []
+        out: list[str] = []
+        for k, part in enumerate(self.model.cut(text)):
+            out += [part] if k % 2 else self.unit(part) if self.model.by_unit else [part] if part else []
         return out
 
-    def _learn(self, every: list[str]) -> None:
-        for k in range(0, len(every), LEARN_UNITS):
-            self._learn_some(every[k : k + LEARN_UNITS])
-
-    def _learn_some(self, units: list[str]) -> None:
-        odd = [u for u in units if u.startswith(MARK * 2) and self.model.kind == BPE]
-        plain = [u for u in units if not (u.startswith(MARK * 2) and self.model.kind == BPE)]
-        ids = [e.ids for e in self.backend.encode_batch_fast(plain, add_special_tokens=False)] + [self._spaced(u) for u in odd]
-        texts = self.backend.decode_batch(ids, skip_special_tokens=False)
-        for u, i, t in zip(plain + odd, ids, texts, strict=True):
-            self.cache[u] = (tuple(i), t.replace(MARK, " "))
-
-    def _spaced(self, unit: str) -> list[int]:
-        """A unit after several markers. All but the last marker of a long run merge among themselves only, in chunks
-        from the left, unless the last one stays single; long words are left to the library."""
-        word = unit.lstrip(MARK)
-        n = len(unit) - len(word)
-        if len(word) <= 64 and n <= 256:
-            return self._leftmost(unit)
-        ids = self.backend.encode(MARK + word, add_special_tokens=False).ids if word else []
-        if not word or ids[0] == self.model.usable.get(MARK):
-            return self._run(n) + ids[1:]
-        return self._run(n - 1) + ids
-
-    def _run(self, n: int) -> list[int]:
-        longest = max(len(p) for p in self.model.usable if not p.strip(MARK))
-        return [self.model.usable[MARK * longest]] * (n // longest) + ([self.model.usable[MARK * (n % longest)]] if n % longest else [])
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """Ids of each text, and each text as decoded from them."""
-        ids, decoded = [], []
-        split = self.unit if self.model.by_unit else lambda t: [t] if t else []
-        units = [split(self.model.normalise(t)) for t in texts]
-        at = 0
-        while at < len(units):  # as many texts at a time as the cache can hold
-            if len(self.cache) > CACHE_UNITS:
-                self.cache.clear()
-            new: dict[str, None] = {}
-            to = at
-            while to < len(units) and (to == at or len(new) < CACHE_UNITS // 4):
-                new.update(dict.fromkeys(u for u in units[to] if u not in self.cache))
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+        """Ids of each text, and each text as decoded from them, in UTF-8."""
+        ids, decoded, at = [], [], 0
+        while at < len(texts):  # some megabytes of text at a time, one text at least
+            parts, to, size = [], at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) < BATCH_CHARS):
+                size += len(texts[to])
+                parts.append(self._split(texts[to]))
                 to += 1
+            if len(self.slots) > CACHE_UNITS or self.chars > CACHE_CHARS:
+                self._forget()
+            new = set().union(*parts).difference(self.slots)
             if new:
-                self._learn(list(new))
-            for part in units[at:to]:
-                found = list(map(self.cache.__getitem__, part))
-                ids.append(np.fromiter(chain.from_iterable(x for x, _ in found), np.int32))
-                decoded.append(self._joined("".join(t for _, t in found)))
+                self._learn(sorted(new))
+            slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+            ends = np.frombuffer(self.ends, np.int64)
+            flat = _stretches(np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32), ends[slots], ends[slots + 1])
+            cuts = np.cumsum((ends[slots + 1] - ends[slots]))
+            del ends
+            bounds = np.concatenate([[0], cuts])[np.concatenate([[0], np.cumsum([len(p) for p in parts])])]
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids.append(flat[a:b])
+                decoded.append(self._plain(flat[a:b]))
             at = to
         return ids, decoded
 
-    def _joined(self, text: str) -> str:
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def _plain(self, ids: np.ndarray) -> bytes:
+        text = _stretches(self.piece_bytes, self.piece_ends[ids], self.piece_ends[ids + 1]).tobytes()
+        return text[1:] if self.model.dummy_prefix and text.startswith(b" ") else text
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of any ids, not only of those that ``encode`` gave."""
-        return [self._joined(t.replace(MARK, " ")) for t in self.backend.decode_batch([list(map(int, x)) for x in ids], skip_special_tokens=False)]
+        """Texts of any ids, not only of those that ``encode`` gave; bytes that are no UTF-8 come back as U+FFFD."""
+        return ["".join(chr(c) if c < 0xDC80 or c > 0xDCFF else "\ufffd" for c in map(ord, self._plain(np.asarray(x, np.int64)).decode("utf-8", "surrogateescape"))) for x in ids]
+
+
+def _stretches(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The values of some stretches, one after another."""
+    sizes = end - begin
+    total = int(sizes.sum())
+    if not total:
+        return values[:0]
+    return values[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
 
 
 _codecs: dict[str, Codec] = {}
@@ -238,9 +299,9 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL) -> DataFrame:
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
                 digests = [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]
-                back = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in decoded]
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())], schema=arrow)
-        codec.cache.clear()  # workers are kept for other work
+                back = [hashlib.sha256(t).hexdigest() for t in decoded]
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(digests, pa.string()), pa.array(back, pa.string()), pa.array([a.encode("utf-8") == b for a, b in zip(texts, decoded, strict=True)], pa.bool_())], schema=arrow)
+        B.give_back()
 
     return B.with_null_ids(B.plain(docs).mapInArrow(run, schema))
 
