@@ -1,8 +1,10 @@
 """Vectorised tokenising and rolling hashes over a block's bytes.
 
-Hashes are polynomials modulo 2**64 over an odd base, by prefix sums: a window's hash is one subtraction and one
-product. They are mixed before use, so that order and partition by value are even. Two different windows share a
-64-bit value with a chance of about n**2 / 2**65 over n windows: 1e-3 for 2e8 windows.
+A word's hash is a sum over its pieces of eight bytes, each mixed with its place: no polynomial, whose values modulo
+2**64 have collisions by construction (complementary Thue-Morse words of 1,024 bytes and more). A window's hash is a
+polynomial modulo 2**64 over the mixed hashes of a few words, by prefix sums: one subtraction and one product. Hashes are
+mixed before use, so that order and partition by value are even. Two different values share 64 bits with a chance of
+about n**2 / 2**65 over n values: 1e-3 for 2e8, so what is decided by hashes alone takes ``more_bits`` too.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+GOLDEN = 0xD1B54A32D192ED03
+FULL = np.uint64((1 << 64) - 1)
+LONG_PIECES = 4
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -40,6 +45,34 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte span, from all of its bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded, strides=(1,))
+    sizes = end - begin
+    pieces = (sizes + 7) >> 3
+    total = np.zeros(len(begin), np.uint64)
+    rows = np.arange(len(begin))
+    for k in range(int(pieces.max(initial=0))):
+        if k:
+            rows = rows[pieces[rows] > k]
+        if k == LONG_PIECES:
+            break
+        left = np.minimum(sizes[rows] - 8 * k, 8).astype(np.uint64)
+        piece = eights[begin[rows] + 8 * k] & (FULL >> ((np.uint64(8) - left) * np.uint64(8)))
+        total[rows] += mix(piece + np.uint64(GOLDEN * (k + 1) & (1 << 64) - 1))
+    else:
+        rows = rows[:0]
+    for i in rows.tolist():  # the pieces from LONG_PIECES on of a few long words
+        a, b = int(begin[i]) + 8 * LONG_PIECES, int(end[i])
+        piece = eights[a:b:8].copy()
+        if (b - a) % 8:
+            piece[-1] &= FULL >> np.uint64(8 * (8 - (b - a) % 8))
+        places = np.arange(LONG_PIECES + 1, LONG_PIECES + 1 + len(piece), dtype=np.uint64) * np.uint64(GOLDEN)
+        total[i : i + 1] += np.add.reduce(mix(piece + places))
+    return mix(total + sizes.astype(np.uint64))
+
+
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """One mixed hash for each full window of ``width`` values."""
     n = len(values) - width + 1
@@ -80,16 +113,21 @@ class Tokens:
         self.end = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.begin, starts)
         self.counts = np.diff(self.first)
-        values = LOWER[data] if lower else data
-        sums = prefix(values.astype(np.uint64) + np.uint64(1))
-        raw = (sums[self.end] - sums[self.begin]) * powers(len(data) + 1)[1][self.begin]
-        self.hashes = mix(raw + (self.end - self.begin).astype(np.uint64))
+        self.hashes = word_hashes(LOWER[data] if lower else data, self.begin, self.end)
         self.doc = np.repeat(np.arange(len(starts) - 1), self.counts)
 
     def local(self) -> np.ndarray:
         """The place of each word in its document."""
         return np.arange(len(self.begin)) - self.first[:-1][self.doc]
 
+    def more_bits(self, width: int) -> np.ndarray:
+        """A second hash of the window at each word, of 32 bits that do not depend on the first."""
+        n = len(self.hashes)
+        out = np.zeros(n, np.uint32)
+        if n >= width:
+            out[: n - width + 1] = window_hashes(mix(self.hashes ^ np.uint64(GOLDEN)), width) >> np.uint64(32)
+        return out
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at each word, and whether the window lies in one document."""
         n = len(self.hashes)
