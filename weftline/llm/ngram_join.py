@@ -13,7 +13,8 @@ copies; no link between different sets is lost.
 3. Sets that are left meet by their first shared token, at most ``GROUP`` at a time; a signature tree with dual
    traversal finds links, verified on the sets, and passes over node pairs whose sets are linked already. Sets that
    stand for a group meet once more.
-4. What is left: every shared token's group goes through a signature tree of bitmaps alone; pairs that have not met and
+4. What is left: a shared token whose sets are all linked, or have all met, is done with; so a large group of near
+   copies gathers nowhere. Every other token's group goes through a signature tree of bitmaps alone; pairs that have not met and
    that the bound cannot rule out join areas of doubt. The sets of each area are fetched and compared as in step 3; an
    area of more than ``GROUP`` sets is cut in chunks, and each pair of chunks is compared.
 5. Components of the verified links and of classes that share an id, by alternating stars.
@@ -43,12 +44,22 @@ WIDTH, PERCENT = 5, 75
 GROUP = 1000
 HOT_TOKENS = 1 << 16  # the order of tokens knows so many frequent ones; the order changes cost, never results
 HOT_LEAST = 32
+AT_ONCE = 1 << 20  # bytes of text whose shingles are hashed at once
 CLASS_TYPES = (np.uint64, np.uint64, np.int64, np.int64)  # digest, least id, least node
 DOCUMENTS = "doc_id long, n long, class_id long, node long, text binary, shared binary"
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each document."""
+    """The sorted distinct shingle hashes of each document; some documents at a time bound the memory."""
+    out, at = [], 0
+    while at + 1 < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + AT_ONCE, side="right")) - 1)
+        out += _sets(data[starts[at] : starts[to]], starts[at : to + 1] - starts[at], width)
+        at = to
+    return out
+
+
+def _sets(data: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
     tokens = Tokens(data, starts, lower=True)
     hashes, whole = tokens.windows(width)
     keys, doc = hashes[whole], tokens.doc[whole]
@@ -150,9 +161,15 @@ def _hot_tokens(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _sets_of(pressed: list[bytes], width: int) -> list[np.ndarray]:
     """Sets of texts on the way: hashing shingles again where a text arrives takes a third of the bytes of hashes."""
-    texts = [B.unpress(x) for x in pressed]
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), starts, width)
+    out, texts, size = [], [], 0
+    for k, x in enumerate(pressed):
+        texts.append(B.unpress(x))
+        size += len(texts[-1])
+        if size >= AT_ONCE or k + 1 == len(pressed):
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            out += shingle_sets(np.frombuffer(b"".join(texts), np.uint8), starts, width)
+            texts, size = [], 0
+    return out
 
 
 def _groups(rows: DataFrame, percent: int, width: int, group: int, parts: int) -> DataFrame:
@@ -172,6 +189,7 @@ def _groups(rows: DataFrame, percent: int, width: int, group: int, parts: int) -
                 continue
             links = link_sets(_sets_of(own["text"].tolist(), width), percent)
             out.append(pd.DataFrame({"node": ids, "root": ids[[links.find(k) for k in range(len(ids))]], "met": met}))
+        B.give_back()
         return pd.concat(out)
 
     return salted.groupBy("part").applyInPandas(run, "node long, root long, met long")
@@ -276,17 +294,25 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
     roots = checkpointed(first.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root"), "met"))
     held = left.join(roots, "node")
 
-    def send_bitmaps(frames):
-        for frame in frames:
-            rows = []
-            for (node, n, shared, root, met), s in zip(frame[["node", "n", "shared", "root", "met"]].itertuples(index=False), _sets_of(frame["text"].tolist(), width), strict=True):
-                own = np.frombuffer(shared, np.uint64)
-                raw = bitmap(s, bits_for(len(s))).tobytes()
-                to = (mix(own) % np.uint64(heavy)).astype(np.int64)
-                rows += [(int(p), node, n, root, met, raw, own[to == p].tobytes()) for p in np.unique(to)]
-            yield pd.DataFrame(rows, columns=["part", "node", "n", "root", "met", "bits", "shared"])
+    # a token whose sets are linked already, or have all been compared, has nothing to say
+    tokens = held.select("node", "root", "met", F.explode(F.expr("transform(sequence(1, length(shared), 8), i -> substring(shared, i, 8))")).alias("token"))
+    ends = [f(c).alias(f"_{c}{k}") for c in ("root", "met") for k, f in enumerate((F.min, F.max))]
+    undecided = tokens.groupBy("token").agg(*ends).where("_root0 < _root1 and _met0 < _met1").select("token")
+    asked = checkpointed(tokens.join(undecided, "token", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens")))
 
-    postings = held.mapInPandas(send_bitmaps, "part int, node long, n long, root long, met long, bits binary, shared binary")
+    def send_bitmaps(frames):
+        for whole in frames:
+            for frame in (whole.iloc[k : k + 500] for k in range(0, len(whole), 500)):
+                rows = []
+                for (node, n, own, root, met), s in zip(frame[["node", "n", "tokens", "root", "met"]].itertuples(index=False), _sets_of(frame["text"].tolist(), width), strict=True):
+                    own = np.sort(np.frombuffer(b"".join(own), np.uint64))
+                    raw = bitmap(s, bits_for(len(s))).tobytes()
+                    to = (mix(own) % np.uint64(heavy)).astype(np.int64)
+                    rows += [(int(p), node, n, root, met, raw, own[to == p].tobytes()) for p in np.unique(to)]
+                yield pd.DataFrame(rows, columns=["part", "node", "n", "root", "met", "bits", "shared"])
+        B.give_back()
+
+    postings = held.join(asked, "node").mapInPandas(send_bitmaps, "part int, node long, n long, root long, met long, bits binary, shared binary")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         ids, sizes = frame["node"].tolist(), frame["n"].to_numpy()
@@ -305,6 +331,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
                 pairs += link_candidates(maps, sizes, owner[a:b].tolist(), links, percent)
+        B.give_back()
         return pd.DataFrame([(ids[x], ids[y]) for x, y in pairs], columns=["a", "b"], dtype="int64")
 
     doubtful = checkpointed(postings.groupBy("part").applyInPandas(compare, "a long, b long").distinct())
@@ -329,6 +356,7 @@ def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bloc
             known = [at.setdefault(r, k) for k, r in enumerate(own["root"].tolist())]
             links = link_sets(_sets_of(own["text"].tolist(), width), percent, known)
             out += [(ids[k], ids[links.find(k)]) for k in range(len(ids)) if links.find(k) != k]
+        B.give_back()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     settled = sent.groupBy("part").applyInPandas(settle, "a long, b long")
