@@ -51,11 +51,22 @@ def test_equals_brute_force(spark, docs, corpus):
     key = lambda r: tuple(str(x) for x in r)
     rows = hard(random.Random(4))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for options in ({}, {"block_bytes": 2000}, {"width": 60, "gram": 20, "block_bytes": 5000}):
+    for options in ({}, {"block_bytes": 2000}, {"width": 60, "gram": 20, "block_bytes": 5000}, {"block_bytes": 800, "hot": 2}, {"width": 60, "gram": 20, "block_bytes": 1500, "hot": 4}):
         got = sorted((tuple(r)[:5] for r in remove_repeated(frame, **options).collect()), key=key)
         assert got == sorted(brute(rows, options.get("width", 200)), key=key)
     assert sorted((tuple(r)[:5] for r in remove_repeated(docs).collect()), key=key) == sorted(brute(corpus, 200), key=key)
 
 
+def test_hot_passages_in_different_surroundings(spark):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long, short = letters(260), letters(185)  # the second is hot, but no window of 200 bytes repeats
+    rows = [(i, letters(90) + (long, short, long[:201])[i % 3] + letters(90)) for i in range(90)] + [(90, "z" * 5000), (91, "z" * 200)]
+    key = lambda r: tuple(str(x) for x in r)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r)[:5] for r in remove_repeated(frame, block_bytes=700, hot=5).collect()), key=key)
+    assert got == sorted(brute(rows, 200), key=key)
+
+
 def test_empty_table(nothing):
     assert remove_repeated(nothing).count() == 0

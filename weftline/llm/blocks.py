@@ -12,6 +12,7 @@ A null doc_id is carried as ``NO_ID``: it sorts after every other id and comes b
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,14 +30,33 @@ LEVEL = 5
 CODEC = pa.Codec("zstd", compression_level=LEVEL)
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 16 << 20
+SPREAD = 3  # partitions of blocks for each of the documents
 REWRITE_ROWS = 500
+BATCH_ROWS = 1000
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, payload binary"
 SENT_SCHEMA = "part int, block long, payload binary"
 ANSWER_SCHEMA = "block long, payload binary"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are kept for other stages, and what one of them holds after a
+    large block would be missed there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def small_batches(docs: DataFrame) -> None:
+    """Let the session hand texts to Python ``BATCH_ROWS`` at a time at most: both sides hold whole batches."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, without nulls."""
+    small_batches(docs)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -73,13 +93,24 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     schema=pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary())]),
                 )
                 seq, start = seq + 1, stop
+        give_back()
 
-    return checkpointed(docs.mapInArrow(run, BLOCK_SCHEMA))
+    # dealt by block once, so that no later pass moves the texts again: only what is sent to blocks is shuffled. A plan
+    # that adapts would not tell the checkpoint how it is partitioned
+    spark = docs.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD * docs.rdd.getNumPartitions())
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpointed(docs.mapInArrow(run, BLOCK_SCHEMA).repartition(wide, "block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def rewrite(docs: DataFrame, change: Callable[[list[str | None]], tuple[list[bool], list[str | None]]]) -> DataFrame:
     """Rows of ``docs`` that ``change`` keeps, with the texts that it gives; other columns pass untouched, without a
     shuffle. ``n_chars``, where there is one, follows a text that has changed."""
+    small_batches(docs)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -96,6 +127,7 @@ def rewrite(docs: DataFrame, change: Callable[[list[str | None]], tuple[list[boo
                         columns[counted] = pa.array(sizes, batch.schema.field(counted).type)
                 out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
                 yield out if all(keep) else out.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -145,7 +177,7 @@ def split_by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]
     """Order of ``keys`` (ascending within each part) and the bounds of the parts in it. The part is in the high bits."""
     order = np.argsort(keys, kind="stable")
     width = -(-(1 << 64) // parts)
-    edges = np.array([min(width * i, (1 << 64) - 1) for i in range(1, parts)], np.uint64)
+    edges = np.arange(1, parts, dtype=np.uint64) * np.uint64(width)
     return order, np.concatenate([[0], np.searchsorted(keys[order], edges), [len(keys)]]).astype(np.int64)
 
 
@@ -157,6 +189,7 @@ def each_block(blocks: DataFrame, fn: Callable[[int, bytes], Iterator[tuple]], s
         for frame in frames:
             for block, payload in zip(frame["block"], frame["payload"], strict=True):
                 rows = list(fn(int(block), payload))
+                give_back()
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
@@ -169,7 +202,9 @@ def each_part(sent: DataFrame, fn: Callable[[int, list[int], list[bytes]], Itera
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("block", kind="stable")
-        return pd.DataFrame(list(fn(int(frame["part"].iloc[0]), frame["block"].tolist(), frame["payload"].tolist())), columns=names)
+        out = pd.DataFrame(list(fn(int(frame["part"].iloc[0]), frame["block"].tolist(), frame["payload"].tolist())), columns=names)
+        give_back()
+        return out
 
     return sent.groupBy("part").applyInPandas(run, schema)
 
@@ -177,10 +212,12 @@ def each_part(sent: DataFrame, fn: Callable[[int, list[int], list[bytes]], Itera
 def each_answered(blocks: DataFrame, answers: DataFrame, fn: Callable[[int, bytes, list[bytes]], Iterator[tuple]], schema: str) -> DataFrame:
     """``fn(block, payload, answers)``; blocks without an answer get an empty list."""
     names = [x.split()[0] for x in schema.split(", ")]
-    both = blocks.select("block", F.lit(0).alias("kind"), "payload").unionByName(answers.select("block", F.lit(1).alias("kind"), "payload"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = frame.loc[frame["kind"] == 0, "payload"].iloc[0]
-        return pd.DataFrame(list(fn(int(frame["block"].iloc[0]), own, frame.loc[frame["kind"] == 1, "payload"].tolist())), columns=names)
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame([], columns=names)
+        out = pd.DataFrame(list(fn(int(own["block"].iloc[0]), own["payload"].iloc[0], given["payload"].tolist())), columns=names)
+        give_back()
+        return out
 
-    return both.groupBy("block").applyInPandas(run, schema)
+    return blocks.select("block", "payload").groupBy("block").cogroup(answers.select("block", "payload").groupBy("block")).applyInPandas(run, schema)
