@@ -104,6 +104,13 @@ def test_index_join_equals_all_rules(spark):
 def test_filter_lists():
     rules, skipped = R.parse_list(["! comment", "||ads.example^", "@@||ok.example^$script,domain=a.example|~b.example", "x##.banner", "/re/", "/path/ad*$third-party,~image", "||y^$popup"], "easylist", "ad")
     assert [(r[2], r[3], r[7]) for r in rules] == [("host", "ads.example", False), ("host", "ok.example", True), ("url_pattern", "/path/ad*", False)]
-    assert skipped == {"element hiding": 1, "regular expressions are not supported": 1, "option popup": 1}
+    assert skipped == {"cosmetic": 1, "regex": 1, "popup_only": 1}
+    made = {x: R.list_rule(x, "ublock", "ad") for x in ("/ad/*", "/ad/*$popup,script", "/ad/*$~script", "@@||x.example^$important,css", "||x.example^$from=a.example")}
+    column = lambda line, name: made[line][[x.split()[0] for x in re.split(", (?=[a-z_]+ )", R.SCHEMA)].index(name)]
+    assert column("/ad/*", "not_types") == ["document", "popup"] and column("/ad/*$popup,script", "not_types") == [] and column("/ad/*$~script", "not_types") == ["document", "popup", "script"]
+    assert not column("@@||x.example^$important,css", "important") and column("@@||x.example^$important,css", "types") == ["stylesheet"] and column("||x.example^$from=a.example", "domains") == ["a.example"]
+    for line, category in {"@@||x.example^$document": "page_exception", "@@$domain=a.example": "page_exception", "||x.example^$domain=a.*": "option:domain_entity_or_invalid", "*": "match_all", "a|b": "invalid_pattern", "x##+js(a)": "scriptlet", "x$rewrite=a": "option:rewrite"}.items():
+        with pytest.raises(R.Unsupported, match=re.escape(category)):
+            R.list_rule(line, "ublock", "ad")
     with pytest.raises(ValueError):
         R.pattern_regex("*")

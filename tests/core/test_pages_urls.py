@@ -14,7 +14,7 @@ from weftline.operators import pages as P
     "raw, want",
     [
         ("HTTP://Example.COM:80/a/../b/./c?q=%7ea b#f", "http://example.com/b/c?q=~a%20b"), ("https://example.com", "https://example.com/"), ("https://münchen.example/ü", "https://xn--mnchen-3ya.example/%C3%BC"),
-        ("https://u:p@x.example/", None), ("ftp://x.example/", None), ("https://[::1]:8443/", "https://[::1]:8443/"), ("https://a..b/", None), ("https://x.example/..", "https://x.example/"), ("", None), (None, None), ("https://x.example/%2f%zz", "https://x.example/%2F%25zz"),
+        ("https://u:p@x.example/", None), ("ftp://x.example/", None), ("https://[::1]:8443/", "https://[::1]:8443/"), ("https://a..b/", None), ("https://x.example/..", "https://x.example/"), ("", None), (None, None), ("https://x.example/%2f%zz", "https://x.example/%2F%25zz"), ("https://x.example:/a//b/?", "https://x.example/a//b/"), ("http://@x.example/", None), ("https://x.example:99999/", None), ("https://x.example:8443/a?b#c", "https://x.example:8443/a?b"), ("https://x.\nexample/a\tb", "https://x.example/ab"), ("https://[zz]/", None), ("https:///a", None), ("https://x.example/a/./..//c/.", "https://x.example//c/"),
     ],
 )
 def test_canonical(raw, want):
@@ -24,7 +24,7 @@ def test_canonical(raw, want):
 
 @pytest.mark.parametrize(
     "url, template, structural",
-    [("https://x.example/", "/", True), ("https://x.example/2024/05/07/some-post", "/{year}/{mm}/{dd}/{slug}", False), ("https://x.example/en/tag/abc?page=2&utm=1", "/{lang}/tag/{slug}?page", True), ("https://x.example/movie/lens-2017/", "/{slug}/{slug}-{year}/", False), ("https://x.example/item/42", "/{slug}/{num}", True), ("https://x.example/a/b/c/d/e/f/g", "/{slug}/{slug}/{slug}/{slug}/{slug}/{deep}", False), ("https://x.example/a.html", "/{slug}.html", False)],
+    [("https://x.example/", "/", True), ("https://x.example/2024/05/07/some-post", "/{year}/{mm}/{dd}/{slug}", False), ("https://x.example/en/tag/abc?page=2&utm=1", "/{lang}/tag/{slug}?page", True), ("https://x.example/movie/lens-2017/", "/{slug}/{slug}-{year}/", False), ("https://x.example/item/42", "/{slug}/{num}", True), ("https://x.example/a/b/c/d/e/f/g", "/{slug}/{slug}/{slug}/{slug}/{slug}/{slug}/{slug}", False), ("https://x.example/a.html", "/{slug}.html", False)],
 )
 def test_templates(url, template, structural):
     s = U.shape(url)
@@ -32,6 +32,19 @@ def test_templates(url, template, structural):
     assert U.shape("mailto:x") is None
 
 
+@pytest.mark.parametrize(
+    "path, template, words",
+    [
+        ("/1999/12/31/", "/{year}/{mm}/{dd}/", ""), ("/1949/12", "/{num}/{num}", ""), ("/2040", "/{num}", ""), ("/2024/13", "/{year}/{num}", ""), ("/2024/02/30.html", "/{year}/{mm}/{num}.html", ""), ("/2024.html", "/{year}.html", ""),
+        ("/author/some-name/", "/author/{slug}/", "some name"), ("/index/list", "/{slug}/{slug}", "index list"), ("/feed/amp/wp-json", "/feed/amp/wp-json", ""), ("/ta/x", "/{lang}/{slug}", "x"), ("/x/ta", "/{slug}/{slug}", "x ta"),
+        ("/wp-login.php?a=b", "/{slug}.php", "wp login"), ("/a.tar", "/{slug}", "a tar"), ("/page.html", "/page.html", ""), ("/old-film-1950.html", "/{slug}-{year}.html", "old film 1950"), ("/x?updated-max=1&term=&pg=2&p=3", "/{slug}?term&updated-max", "x"), ("/a%2Db/%FF", "/{slug}/{slug}", "a b \ufffd"), ("/-", "/{slug}", ""),
+    ],
+)
+def test_template_values(path, template, words):
+    s = U.shape("https://x.example" + path)
+    assert (s["template"], s["slug_text"]) == (template, words)
+
+
 def test_columns(spark):
     rows = spark.createDataFrame([("https://A.B.co.uk.:8080/x.MP4?y#z", "b.co.uk"), ("http://[2001:db8::1]/", None), ("https://10.0.0.1/a", "10.0.0.2"), ("nothing", "x.example")], "url string, source string")
     got = [tuple(r) for r in rows.select(U.host(F.col("url")), U.site(F.col("url")), U.is_third_party(U.host(F.col("url")), F.col("source")), U.media_kind(F.col("url"), F.lit(None).cast("string"))).collect()]
