@@ -30,13 +30,13 @@ def test_no_edges(spark):
 
 
 def test_query_takes_all_rows(spark, tmp_path):
-    """Edges of small quantities, which the query with SQL leaves out, link too."""
+    """Edges of all quantities link."""
     from weftline.plans.operator_queries import QUERIES
 
     rng = random.Random(9)
     rows = [(rng.randrange(80), rng.randrange(60), float(rng.randrange(1, 51))) for _ in range(70)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.node: r.component for r in QUERIES["connected_components_whole"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()}
     assert got == brute([(a, b + 1_000_000_000) for a, b, _ in rows])
 
 
@@ -46,4 +46,4 @@ def test_sort_keeps_all_rows(spark, tmp_path):
     rows = [(k, None if k % 9 == 0 else float(k * 37 % 101)) for k in range(120)]
     spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     cut = [(k, v if v is not None and v > 50 else None) for k, v in rows]
-    assert [tuple(r) for r in QUERIES["sort_nulls_last_whole"](spark, str(tmp_path)).collect()] == sorted(cut, key=lambda r: (r[1] is None, r[1] or 0, r[0]))
+    assert [tuple(r) for r in QUERIES["sort_nulls_last"](spark, str(tmp_path)).collect()] == sorted(cut, key=lambda r: (r[1] is None, r[1] or 0, r[0]))

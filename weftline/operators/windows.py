@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], at: str, *ties: str) -> DataFrame:
@@ -31,16 +34,24 @@ def visit_windows(rows: DataFrame, keys: list[str], at: str, gap_seconds: float)
     """Windows of visits: a new one opens ``gap_seconds`` or more after the start of the current one.
 
     The gap counts from the window's start, not from the last visit, so this is a fold over the ordered times and no
-    session window. Distinct times are sorted and folded inside one array for each key."""
-    times = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(at).cast("timestamp").cast("double"))).alias("_t"))
-    folded = F.aggregate(
-        "_t",
-        F.array().cast("array<struct<start: double, visits: int>>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1)["start"] >= gap_seconds), F.concat(acc, F.array(F.struct(t.alias("start"), F.lit(1).alias("visits"))))).otherwise(
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["visits"] + 1).alias("visits"))))
-        ),
-    )
-    return times.select(*keys, F.posexplode(folded).alias("window_index", "_w")).select(*keys, "window_index", F.timestamp_micros((F.col("_w.start") * 1e6).cast("long")).alias("started_at"), F.col("_w.visits").alias("visits"))
+    session window: each key's sorted times are read once, and the next window's start is found by bisection."""
+    seconds = F.col(at).cast("timestamp").cast("double").alias("_t")
+    key_fields = [rows.select(*keys).schema[k] for k in keys]
+    schema = T.StructType([*key_fields, T.StructField("window_index", T.IntegerType()), T.StructField("_start", T.DoubleType()), T.StructField("visits", T.IntegerType())])
+
+    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(frame["_t"].dropna().to_numpy())
+        starts = [0] if len(times) else []
+        while starts and (to := int(np.searchsorted(times, times[starts[-1]] + gap_seconds))) < len(times):
+            starts.append(max(to, starts[-1] + 1))
+        visits = np.diff([*starts, len(times)]) if starts else np.zeros(0, int)
+        out = pd.DataFrame({"window_index": np.arange(len(starts)), "_start": times[starts], "visits": visits})
+        for k, (name, value) in enumerate(zip(keys, key, strict=True)):
+            out.insert(k, name, [value] * len(out))
+        return out
+
+    folded = rows.select(*keys, seconds).groupBy(*keys).applyInPandas(fold, schema)
+    return folded.select(*keys, "window_index", F.timestamp_micros((F.col("_start") * 1e6).cast("long")).alias("started_at"), "visits")
 
 
 def first_appearance(rows: DataFrame, keys: list[str], member: str, index: str) -> DataFrame:

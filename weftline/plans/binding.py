@@ -46,16 +46,16 @@ DATASETS: dict[str, str] = {
         l_shipdate AS observed_at, concat('https://h', CAST(l_suppkey % 40 AS STRING), '.example.com/', CAST(l_orderkey % 300 AS STRING)) AS page_url,
         concat('url_', CAST(l_orderkey % 300 AS STRING)) AS page_url_id, CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE concat('h', CAST(l_suppkey % 40 AS STRING), '.example.com') END AS page_site,
         CASE l_returnflag WHEN 'N' THEN 'ok' WHEN 'A' THEN 'forbidden' ELSE 'gone' END AS probe_status,
-        CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE concat('cnt_', CAST(l_partkey % 60 AS STRING)) END AS content_id, 'sha256' AS content_scheme FROM lineitem""",
+        CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE concat('cnt_', CAST(l_partkey AS STRING)) END AS content_id, 'sha256' AS content_scheme FROM lineitem""",
     "targets": "SELECT concat('tgt_', CAST(c_custkey AS STRING)) AS target_id, c_name AS title, CASE WHEN c_acctbal > 8000 THEN 1 ELSE 0 END AS retired FROM customer WHERE c_acctbal > 0",
-    "matches": """SELECT concat('mat_', CAST(o_orderkey AS STRING)) AS match_id, concat('cnt_', CAST(o_custkey % 70 AS STRING)) AS content_id, concat('tgt_', CAST(o_custkey AS STRING)) AS target_id,
+    "matches": """SELECT concat('mat_', CAST(o_orderkey AS STRING)) AS match_id, concat('cnt_', CAST(o_custkey AS STRING)) AS content_id, concat('tgt_', CAST(o_custkey AS STRING)) AS target_id,
         CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'probable' ELSE 'rejected' END AS verdict, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence, o_orderdate AS decided_at FROM orders""",
     "evidence_candidates": """SELECT concat('evd_', CAST(o_orderkey AS STRING)) AS evidence_id, concat('mat_', CAST(o_orderkey AS STRING)) AS match_id, concat('tgt_', CAST(o_custkey AS STRING)) AS target_id,
-        CASE WHEN o_orderpriority < '3' THEN 'complete' ELSE 'partial' END AS status, o_orderdate AS collected_at FROM orders WHERE o_orderkey % 3 = 0""",
+        CASE WHEN o_orderpriority < '3' THEN 'complete' ELSE 'partial' END AS status, o_orderdate AS collected_at FROM orders""",
     "evidence_sources": """SELECT concat('evd_', CAST(l_orderkey AS STRING)) AS evidence_id, CAST(l_linenumber AS INT) AS ordinal, concat('url_', CAST(l_partkey % 300 AS STRING)) AS page_url_id,
-        CASE l_linestatus WHEN 'O' THEN 'observed' ELSE 'co-occurrence' END AS basis, l_shipdate AS sighted_at FROM lineitem WHERE l_orderkey % 3 = 0""",
+        CASE l_linestatus WHEN 'O' THEN 'observed' ELSE 'co-occurrence' END AS basis, l_shipdate AS sighted_at FROM lineitem""",
     "evidence_versions": """SELECT concat('evd_', CAST(l_orderkey AS STRING)) AS evidence_id, CAST(l_linenumber AS INT) AS version,
-        CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'final' WHEN 1 THEN 'draft' ELSE 'void' END AS status FROM lineitem WHERE l_orderkey % 3 = 0""",
+        CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'final' WHEN 1 THEN 'draft' ELSE 'void' END AS status FROM lineitem""",
     "campaigns": """SELECT concat('camp_', CAST(c_nationkey AS STRING)) AS campaign_id, concat('tgt_', CAST(c_custkey AS STRING)) AS target_id, n_name AS name,
         CASE WHEN c_nationkey % 2 = 0 THEN CAST('1995-06-01' AS TIMESTAMP) ELSE NULL END AS since FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 5
@@ -49,7 +49,8 @@ def _identified(rows: DataFrame, name: str, dataset: str, directed: bool) -> Dat
 def edges_of(view, e: EdgeType) -> DataFrame:
     """Edges of one type: weight, distinct pages, first and last time, and the five least source keys.
 
-    The keys are kept by a bounded window over one row for each distinct key, so no list grows with a hot edge."""
+    The keys come from one row for each distinct key and edge, of which a ranked window keeps ``SAMPLE``: Spark filters ranks
+    before the shuffle too, so no list grows with a hot edge."""
     rows = view.table(e.dataset).where(e.where)
     ends = rows.select(F.expr(e.src).alias("src"), F.expr(e.dst).alias("dst"), F.expr(e.key).alias("_key"), *[F.col(c) for c in rows.columns])
     sums = ends.groupBy("src", "dst").agg(
@@ -59,16 +60,23 @@ def edges_of(view, e: EdgeType) -> DataFrame:
         (F.expr(e.confidence) if e.confidence else F.max(F.lit(None).cast("double"))).alias("confidence"),
         (F.min(e.at) if e.at else F.max(F.lit(None).cast("timestamp"))).cast("timestamp").alias("first_at"),
         (F.max(e.at) if e.at else F.max(F.lit(None).cast("timestamp"))).cast("timestamp").alias("last_at"),
-        F.slice(F.array_sort(F.collect_set("_key")), 1, SAMPLE).alias("source_keys"),
     )
-    return _identified(sums, e.name, e.dataset, True)
+    return _identified(sums.join(_least_keys(ends), ["src", "dst"]), e.name, e.dataset, True)
+
+
+def _least_keys(ends: DataFrame) -> DataFrame:
+    """(src, dst, source_keys): the ``SAMPLE`` least keys of each edge."""
+    first = Window.partitionBy("src", "dst").orderBy("_key")
+    ranked = ends.select("src", "dst", "_key").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= SAMPLE)
+    return ranked.groupBy("src", "dst").agg(F.array_sort(F.collect_list("_key")).alias("source_keys"))
 
 
 def shared_content(view) -> DataFrame:
     """Pairs of sites (src < dst) on which the same content was seen."""
     s = view.table("media_observations").where("content_id is not null and page_site is not null").select(F.col("page_site").alias("site"), "content_id").distinct()
     pairs = s.alias("a").join(s.alias("b"), (F.col("a.content_id") == F.col("b.content_id")) & (F.col("a.site") < F.col("b.site")))
-    rows = pairs.groupBy(F.concat(F.lit("site:"), "a.site").alias("src"), F.concat(F.lit("site:"), "b.site").alias("dst")).agg(F.count(F.lit(1)).alias("weight"), F.slice(F.array_sort(F.collect_list("a.content_id")), 1, SAMPLE).alias("source_keys"))
+    ends = pairs.select(F.concat(F.lit("site:"), "a.site").alias("src"), F.concat(F.lit("site:"), "b.site").alias("dst"), F.col("a.content_id").alias("_key"))
+    rows = ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).join(_least_keys(ends), ["src", "dst"])
     for name, kind in (("distinct_pages", "long"), ("status", "string"), ("confidence", "double"), ("first_at", "timestamp"), ("last_at", "timestamp")):
         rows = rows.withColumn(name, F.lit(None).cast(kind))
     return _identified(rows, "site_shares_content", "media_observations", False)

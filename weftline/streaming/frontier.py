@@ -7,7 +7,9 @@ one namespace at a time, as a grouped fold. Namespaces are the unit of parallel
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,41 +42,143 @@ class Task:
     token: str | None = None
     expires: float = 0.0
     error: str | None = None
+    born: int = 0  # place among admissions, for ties
+
+
+class Order:
+    """A heap whose entries may have gone stale: ``holds(entry)`` says whether one still counts."""
+
+    def __init__(self, holds):
+        self.heap: list[tuple] = []
+        self.holds = holds
+
+    def push(self, *entry) -> None:
+        heappush(self.heap, entry)
+
+    def top(self) -> tuple | None:
+        while self.heap and not self.holds(self.heap[0]):
+            heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
+    def until(self, now: float) -> list[tuple]:
+        """Entries that count and whose first value is ``now`` or less, taken out in order, each once."""
+        out: dict[tuple, None] = {}
+        while (entry := self.top()) is not None and entry[0] <= now:
+            out[heappop(self.heap)] = None
+        return list(out)
 
 
 @dataclass
 class Frontier:
+    """Claims take the logarithm of what waits: each queue orders the best ready task of each domain, and a domain that may
+    not be claimed from leaves that order until its gate, yield or lease ends."""
+
     settings: Settings = field(default_factory=Settings)
     tasks: dict[str, Task] = field(default_factory=dict)
     gates: dict[str, tuple[float, str]] = field(default_factory=dict)  # domain -> closed until, queue that claimed
     yields: dict[tuple[str, str], float] = field(default_factory=dict)  # a queue lets others go first
     sequence: int = 0
+    closings: int = 0
+    admissions: int = 0
+
+    def __post_init__(self) -> None:
+        self.waiting: dict[tuple[str, str], Order] = {}  # ready tasks by queue and domain: (-priority, order, key)
+        self.ready: Counter = Counter()  # their number
+        self.depths: Counter = Counter()  # tasks of a queue that are not dead
+        self.leased: Counter = Counter()  # by domain
+        self.dead: set[str] = set()
+        self.heads = {q: Order(lambda e, q=q: self._waits(q, e[3], e)) for q in QUEUES}
+        self.scheduled = Order(lambda e: self._is(e[3], "scheduled") and (self.tasks[e[3]].due, self.tasks[e[3]].order) == e[:2])
+        self.leases = Order(lambda e: self._is(e[2], "leased") and (self.tasks[e[2]].expires, self.tasks[e[2]].order) == e[:2])
+        self.opening = Order(lambda e: self.gates.get(e[3], (None,))[0] == e[0])
+        self.yielding = Order(lambda e: self.yields.get(e[1:]) == e[0])
+
+    def _is(self, key: str, state: str) -> bool:
+        task = self.tasks.get(key)
+        return task is not None and task.state == state
 
-    def _ready(self, task: Task) -> None:
-        self.sequence += 1
-        task.state, task.order, task.token = "ready", self.sequence, None
+    def _waits(self, queue: str, domain: str, entry: tuple) -> bool:
+        task = self.tasks.get(entry[2])
+        return task is not None and task.state == "ready" and (task.queue, task.domain, -task.priority, task.order) == (queue, domain, *entry[:2])
 
-    def _later(self, task: Task, due: float) -> None:
-        task.state, task.due, task.token = "scheduled", due, None
+    def _leave(self, key: str) -> None:
+        """Take a task out of the counts of its state and queue."""
+        task = self.tasks[key]
+        if task.state == "ready":
+            self.ready[task.queue, task.domain] -= 1
+        elif task.state == "leased":
+            self.leased[task.domain] -= 1
+            self._offer_all(task.domain)
+        self.dead.discard(key)
+        self.depths[task.queue] -= task.state != "dead"
+
+    def _enter(self, key: str, task: Task, state: str) -> None:
+        self.tasks[key] = task
+        task.state = state
+        self.depths[task.queue] += state != "dead"
+        if state == "ready":
+            self.ready[task.queue, task.domain] += 1
+        elif state == "leased":
+            self.leased[task.domain] += 1
+        elif state == "dead":
+            self.dead.add(key)
+
+    def _drop(self, key: str) -> None:
+        task = self.tasks[key]
+        self._leave(key)
+        task.state = "gone"
+        del self.tasks[key]
+
+    def _wait(self, key: str, task: Task) -> None:
+        place = (task.queue, task.domain)
+        if place not in self.waiting:
+            self.waiting[place] = Order(lambda e, p=place: self._waits(*p, e))
+        self.waiting[place].push(-task.priority, task.order, key)
+        self._offer(*place)
+
+    def _offer(self, queue: str, domain: str) -> None:
+        """Put the best ready task of a domain in its queue's order."""
+        order = self.waiting.get((queue, domain))
+        if order is not None and (best := order.top()) is not None and not self._closed(queue, domain):
+            self.heads.setdefault(queue, Order(lambda e, q=queue: self._waits(q, e[3], e))).push(*best, domain)
+
+    def _offer_all(self, domain: str) -> None:
+        for queue in {*QUEUES, *self.heads}:
+            self._offer(queue, domain)
+
+    def _closed(self, queue: str, domain: str) -> bool:
+        full = self.settings.in_flight and self.leased[domain] >= self.settings.in_flight
+        return bool(full) or domain in self.gates or (queue, domain) in self.yields
 
-    def _leased(self, domain: str) -> int:
-        return sum(t.state == "leased" and t.domain == domain for t in self.tasks.values())
+    def _ready(self, key: str, task: Task) -> None:
+        self.sequence += 1
+        task.order, task.token = self.sequence, None
+        self._enter(key, task, "ready")
+        self._wait(key, task)
+
+    def _later(self, key: str, task: Task, due: float) -> None:
+        task.due, task.token = due, None
+        self._enter(key, task, "scheduled")
+        self.scheduled.push(due, task.order, task.born, key)
 
     def depth(self, queue: str) -> int:
-        return sum(t.queue == queue and t.state != "dead" for t in self.tasks.values())
+        return self.depths[queue]
 
     def advance(self, now: float) -> None:
         """What is due by now: scheduled tasks become ready, gates and yields open."""
-        for task in sorted((t for t in self.tasks.values() if t.state == "scheduled" and t.due <= now), key=lambda t: (t.due, t.order)):
-            self._ready(task)
-        for domain, (until, queue) in sorted(self.gates.items(), key=lambda g: g[1]):
-            if until <= now:
-                del self.gates[domain]
-                waiting = {t.queue for t in self.tasks.values() if t.state == "ready" and t.domain == domain}
-                if queue in waiting and waiting - {queue}:
-                    self.yields[queue, domain] = now + self.settings.interval
-        for key in [k for k, until in self.yields.items() if until <= now]:
-            del self.yields[key]
+        for *_, key in self.scheduled.until(now):
+            self._leave(key)
+            self._ready(key, self.tasks[key])
+        for _, queue, _, domain in self.opening.until(now):
+            del self.gates[domain]
+            others = any(n > 0 for (q, d), n in ((p, self.ready[p]) for p in ((q, domain) for q in self.heads)) if q != queue)
+            if self.ready[queue, domain] > 0 and others:
+                self.yields[queue, domain] = now + self.settings.interval
+                self.yielding.push(now + self.settings.interval, queue, domain)
+            self._offer_all(domain)
+        for _, queue, domain in self.yielding.until(now):
+            del self.yields[queue, domain]
+            self._offer(queue, domain)
 
     def admit(self, now: float, key: str, domain: str, queue: str, priority: int, due: float | None = None) -> str:
         """One task for each URL: the higher priority wins, and a task never tried may move earlier."""
@@ -84,33 +188,48 @@ class Frontier:
             changed = False
             if task.state in ("ready", "scheduled") and priority > task.priority:
                 task.priority, changed = priority, True
+                if task.state == "ready":
+                    self._wait(key, task)
             if task.state == "scheduled" and due < task.due and task.attempts == 0:
                 task.due, changed = due, True
+                self.scheduled.push(due, task.order, task.born, key)
             return "merged" if changed else "duplicate"
         if self.depth(queue) >= self.settings.max_depth:
             return "rejected_full"
-        task = self.tasks[key] = Task(domain, queue, priority)
+        if task is not None:
+            self._drop(key)
+        self.admissions += 1
+        task = Task(domain, queue, priority, born=self.admissions)
         if due > now:
-            self._later(task, due)
+            self._later(key, task, due)
             return "scheduled"
-        self._ready(task)
+        self._ready(key, task)
         return "ready"
 
     def claim(self, now: float, queue: str, token: str) -> str | None:
         """The best ready task of a domain that is open, not yielding and below its limit."""
         self.advance(now)
-        full = {d for d in {t.domain for t in self.tasks.values()} if self.settings.in_flight and self._leased(d) >= self.settings.in_flight}
-        heads = [(-t.priority, t.order, k) for k, t in self.tasks.items() if t.state == "ready" and t.queue == queue and t.domain not in self.gates and t.domain not in full and (queue, t.domain) not in self.yields]
-        if not heads:
-            return None
-        key = min(heads)[2]
-        task = self.tasks[key]
-        if self.settings.interval > 0:
-            self.gates[task.domain] = (now + self.settings.interval, queue)
-            for q in QUEUES:
-                self.yields.pop((q, task.domain), None)
-        task.state, task.token, task.expires, task.attempts = "leased", token, now + self.settings.lease, task.attempts + 1
-        return key
+        heads = self.heads.setdefault(queue, Order(lambda e, q=queue: self._waits(q, e[3], e)))
+        while (best := heads.top()) is not None:
+            heappop(heads.heap)
+            key, domain = best[2:]
+            if self._closed(queue, domain):
+                continue  # it is offered again when it opens
+            task = self.tasks[key]
+            if self.settings.interval > 0:
+                until = now + self.settings.interval
+                self.closings += 1
+                self.gates[domain] = (until, queue)
+                self.opening.push(until, queue, self.closings, domain)
+                for q in {*QUEUES, *self.heads}:
+                    self.yields.pop((q, domain), None)
+            self._leave(key)
+            task.token, task.expires, task.attempts = token, now + self.settings.lease, task.attempts + 1
+            self._enter(key, task, "leased")
+            self.leases.push(task.expires, task.order, key)
+            self._offer_all(domain)
+            return key
+        return None
 
     def _own(self, key: str, token: str) -> Task | None:
         task = self.tasks.get(key)
@@ -120,12 +239,13 @@ class Frontier:
         if (task := self._own(key, token)) is None:
             return "stale"
         task.expires = now + self.settings.lease
+        self.leases.push(task.expires, task.order, key)
         return "extended"
 
     def complete(self, now: float, key: str, token: str) -> str:
         if self._own(key, token) is None:
             return "stale"
-        del self.tasks[key]
+        self._drop(key)
         return "completed"
 
     def backoff(self, attempts: int) -> float:
@@ -134,19 +254,21 @@ class Frontier:
     def fail(self, now: float, key: str, token: str, reason: str = "", next_queue: str | None = None) -> str:
         if (task := self._own(key, token)) is None:
             return "stale"
+        if task.attempts >= self.settings.max_attempts:
+            self._drop(key)
+            return "exhausted"
+        self._leave(key)
         task.queue, task.error = next_queue or task.queue, reason
-        if task.attempts < self.settings.max_attempts:
-            self._later(task, now + self.backoff(task.attempts))
-            return "retry_scheduled"
-        del self.tasks[key]
-        return "exhausted"
+        self._later(key, task, now + self.backoff(task.attempts))
+        return "retry_scheduled"
 
     def defer(self, now: float, key: str, token: str, delay: float) -> str:
         """Back to the schedule without using an attempt."""
         if (task := self._own(key, token)) is None:
             return "stale"
         task.attempts -= 1
-        self._later(task, now + delay)
+        self._leave(key)
+        self._later(key, task, now + delay)
         return "deferred"
 
     def recover(self, now: float) -> tuple[int, int]:
@@ -154,27 +276,31 @@ class Frontier:
         which expire and are bounded, the oldest first."""
         self.advance(now)
         recovered = dead = 0
-        for task in sorted((t for t in self.tasks.values() if t.state == "leased" and t.expires <= now), key=lambda t: (t.expires, t.order)):
+        for _, _, key in self.leases.until(now):
+            task = self.tasks[key]
+            self._leave(key)
             task.error = "lease expired"
             if task.attempts < self.settings.max_attempts:
-                self._later(task, now + self.backoff(task.attempts))
+                self._later(key, task, now + self.backoff(task.attempts))
                 recovered += 1
             else:
-                task.state, task.due, task.token = "dead", now, None
+                task.due, task.token = now, None
+                self._enter(key, task, "dead")
                 dead += 1
-        letters = sorted((t.due, k) for k, t in self.tasks.items() if t.state == "dead")
+        letters = sorted((self.tasks[k].due, k) for k in self.dead)
         surplus = max(0, len(letters) - self.settings.dead_max)
         for k, (at, key) in enumerate(letters):
             if k < surplus or at + self.settings.dead_ttl <= now:
-                del self.tasks[key]
+                self._drop(key)
         return recovered, dead
 
     def violations(self, now: float) -> list[str]:
         """Consistency: every task in one valid state, limits held, no ready work of an open domain forgotten."""
         out = [f"{k}: no such state" for k, t in self.tasks.items() if t.state not in ("ready", "scheduled", "leased", "dead")]
         out += [f"{k}: lease without a token" for k, t in self.tasks.items() if (t.state == "leased") != (t.token is not None)]
-        if self.settings.in_flight:
-            out += [f"{d}: over its limit" for d in {t.domain for t in self.tasks.values()} if self._leased(d) > self.settings.in_flight]
+        held = Counter(t.domain for t in self.tasks.values() if t.state == "leased")
+        out += [f"{d}: over its limit" for d, n in held.items() if 0 < self.settings.in_flight < n]
+        out += ["counts differ"] * (held != +self.leased or Counter(t.queue for t in self.tasks.values() if t.state != "dead") != +self.depths)
         orders = [t.order for t in self.tasks.values() if t.state == "ready"]
         return out + ["two ready tasks have one place"] * (len(orders) != len(set(orders)))
 
