@@ -1,28 +1,27 @@
-"""Queries of this subpackage, and SQL for those that SQL can express."""
+"""Queries of the operators for training data, by module, and SQL for those whose result SQL can express."""
 
 from __future__ import annotations
 
-from weftline.llm.decontamination import op3_benchmark_decontamination
-from weftline.llm.license_scan import op7_license_scans
-from weftline.llm.media_ogg import op9_media_ogg
-from weftline.llm.ngram_join import op8_ngram_jaccard_join
-from weftline.llm.piece_tokens import op4_sentencepiece
-from weftline.llm.quality import op2_quality_classifier
-from weftline.llm.secrets_scan import op10_secret_scans
-from weftline.llm.sharding import op6_sharding
-from weftline.llm.substring_dedup import op1_substring_dedup
-from weftline.llm.suffix_dedup import op5_suffix_array_dedup
+import importlib
 
-QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op2_quality_classifier": op2_quality_classifier,
-    "op3_benchmark_decontamination": op3_benchmark_decontamination,
-    "op4_sentencepiece": op4_sentencepiece,
-    "op5_suffix_array_dedup": op5_suffix_array_dedup,
-    "op6_sharding": op6_sharding,
-    "op7_license_scans": op7_license_scans,
-    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
-    "op9_media_ogg": op9_media_ogg,
-    "op10_secret_scans": op10_secret_scans,
+#: query -> module of this package that has the function of that name.
+MODULES = {
+    "op1_substring_dedup": "substring_dedup",
+    "op2_quality_classifier": "quality",
+    "op3_benchmark_decontamination": "decontamination",
+    "op4_sentencepiece": "piece_tokens",
+    "op5_suffix_array_dedup": "suffix_dedup",
+    "op6_sharding": "sharding",
+    "op7_license_scans": "license_scan",
+    "op8_ngram_jaccard_join": "ngram_join",
+    "op9_media_ogg": "media_ogg",
+    "op10_secret_scans": "secrets_scan",
 }
-ORACLES: dict[str, str] = {}
+
+
+def query(name: str):
+    return getattr(importlib.import_module(f"weftline.llm.{MODULES[name]}"), name)
+
+
+def oracles() -> dict[str, str]:
+    return importlib.import_module("weftline.llm.sql").ORACLES
