@@ -23,11 +23,14 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, name: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` where the cluster names it; a temporary folder only where nothing is set."""
+    """Use ``spark.checkpoint.dir`` where the cluster names it. Where it is unset, a local session, whose executors are
+    threads, gets a temporary folder; any other has no folder that all its executors share, so that is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
 
 
