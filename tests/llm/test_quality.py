@@ -41,4 +41,29 @@ def test_odd_rows(spark, docs, corpus, nothing):
     rows = Q.score(docs, model).collect()
     assert len(rows) == len(corpus) and all(r.score == 0.5 and r.predicted == 0 for r in rows)
     assert Q.score(nothing, Q.fit(nothing, labels)).count() == 0
-    assert Q.features(np.zeros(0, np.uint8), np.zeros(3, np.int64), Q.index_vectors()).tolist() == np.zeros((2, Q.DIMS + 6)).tolist()
+    assert Q.features(np.zeros(0, np.uint8), np.zeros(3, np.int64), np.stack([Q.index_vectors()] * 2)).tolist() == np.zeros((2, Q.POOLED + 6)).tolist()
+    assert Q.keep_good(docs, model).count() == len(corpus)
+    repeated = docs.unionByName(docs).unionByName(docs)
+    assert Q.score(repeated, Q.fit(repeated, labels.unionByName(labels))).count() == 3 * len(corpus)
+
+
+def test_whole_words_count():
+    """Words that differ after their first bytes have rows of their own, and a stem in common."""
+    raw = b"information informal informational Information INFORMATION 2024 2025 ... !!"
+    words, stems, doc = Q.tokens_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert len(words) == 9 and len(set(words.tolist())) == 9
+    assert len(set(stems[:3].tolist())) == 1 and stems[3] != stems[0] and stems[5] == stems[6]
+
+
+def test_pooled_vectors_alone_tell_most(spark):
+    """The measures beside the vectors are not what decides."""
+    rng = random.Random(3)
+    rows = [(text(rng, i % 2, 50).encode(), i % 2) for i in range(600)]
+    ends = lambda part: np.concatenate([[0], np.cumsum([len(t) for t, _ in part])]).astype(np.int64)
+    data = lambda part: np.frombuffer(b"".join(t for t, _ in part), np.uint8)
+    table = Q.context_sums(data(rows[:400]), ends(rows[:400]), Q.index_vectors())
+    table /= np.linalg.norm(table, axis=2, keepdims=True) + 1e-6
+    x = Q.features(data(rows), ends(rows), table)[:, : Q.POOLED]
+    y = np.array([label for _, label in rows], float)
+    network = Q.TwoLayer(x[:400], y[:400])
+    assert np.mean((network.scores(x[400:]) > 0.5) == (y[400:] > 0)) > 0.9
