@@ -54,6 +54,22 @@ def test_network_tells_held_out_secrets_from_prose(network):
     assert np.mean(scores[labels == 0] >= network.threshold) < 0.07
 
 
+def test_every_candidate_is_scored(network):
+    text = "see note password=abcdef12 and " + "9f" * 20 + "/Zx81kQpR77LmW2 in v2.1-build"
+    found = S.find_all([text], network)[0]
+    base = S.base_spans(text)
+    assert [f[:4] for f in found if f[2] < 3] == base and all(0 <= f[4] <= 1 for f in found)
+    rest = [text[a:b] for a, b in S.other_runs(text, base)]
+    assert "/Zx81kQpR77LmW2" in rest  # what a base finding leaves of a run
+    assert {"recall", "flagged harmless", "temperature"} <= network.report.keys() and network.report["recall"] >= 0.98
+
+
+def test_very_long_and_repeated(spark, network):
+    rows = [(1, "a1" * 50_000), (1, "a1" * 50_000), (2, "x " * 60_000 + "token=abcdef")]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string"), network).collect()
+    assert sorted(r.n_assign for r in got) == [0, 0, 1] and got[0].spans.count(":") <= 4
+
+
 def test_scores_do_not_depend_on_the_batch(network):
     samples = [S.encode(t, a, b) for t, a, b, _ in S._generated(random.Random(1))[:20]]
     one = np.concatenate([network.scores([s]) for s in samples])
