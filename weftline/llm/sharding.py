@@ -7,15 +7,24 @@ counts bytes in ``BINS`` bins of every node, the bin that holds the quantile is
 is below ``tolerance`` of a leaf. Ties in a dimension are spread by a hash of the text and then of the id, so copies of
 a text stay side by side and a group that is larger than a leaf can still be cut.
 
+Rows are whole, so cuts miss their goals by up to a row, and rows may be large beside a leaf. At the end leaves are evened
+out: the rows of a leaf are hashed to bins, and the heaviest or the lightest leaf exchanges bins with another, each time
+those that come nearest to the middle, until nothing helps or ``SLACK`` of a leaf is reached.
+
 The driver sees nodes x bins sums at most. Slots are numbered by two levels: rows are numbered inside small buckets of
 a shard, buckets are offset by running counts, so no task sorts a whole shard.
 
+A level's rows are checkpointed, so no level is computed twice.
+
 Defined results: a null text has size ``OVERHEAD`` and checksum 0; null metadata count as the empty string; rows with
 equal ids get slots of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +33,7 @@ from weftline.session import checkpointed
 OVERHEAD = 16
 BINS = 512
 BUCKET_ROWS = 250_000
+EVEN_SUMS, EVEN_MOVES, PARTNERS, SLACK = 200_000, 2000, 40, 0.001
 
 
 def _unit(column) -> F.Column:
@@ -99,8 +109,60 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, n_shards: int |
         nodes = after
         step = F.broadcast(_inline(spark, table, ["_node", "_dim", "_cut", "_low", "_high"]))
         rows = rows.join(step, "_node", "left").select("doc_id", "size", "text_crc32", "_at", F.when(F.col("_dim").isNull(), F.col("_node")).when(F.element_at("_at", F.col("_dim") + 1) <= F.col("_cut"), F.col("_low")).otherwise(F.col("_high")).alias("_node"))
+        rows = checkpointed(rows)
     last = F.broadcast(_inline(spark, [(n, first) for n, (_, first) in nodes.items()], ["_node", "shard"]))
-    return rows.join(last, "_node").select("doc_id", "size", "text_crc32", "shard")
+    return _evened(rows.join(last, "_node").select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")), leaves)
+
+
+def exchange(sums: list[tuple[int, int, int]], leaves: int, slack: float = SLACK, moves: int = EVEN_MOVES) -> list[tuple[int, int, int]]:
+    """(shard, bin, new shard) for bins that go from heavy to light shards. ``sums`` has (shard, bin, weight)."""
+    held: list[list[tuple[int, int, int]]] = [[(0, -1, -1)] for _ in range(leaves)]  # the first stands for no bin
+    for shard, bin_, weight in sums:
+        held[shard].append((weight, shard, bin_))
+    for x in held:
+        x.sort()
+    total = [sum(w for w, *_ in x) for x in held]
+    moved: dict[tuple[int, int], int] = {}
+    least = slack * sum(total) / leaves
+
+    def best(high: int, low: int) -> tuple[int, int] | None:
+        """The bin of one and the bin of the other, or none, whose exchange comes nearest to the middle."""
+        half = (total[high] - total[low]) / 2
+        own, other = (np.array([w for w, *_ in held[k]], np.float64) for k in (high, low))
+        at = np.searchsorted(other, own - half)
+        pairs = [(abs(own - other[k] - half), k) for k in (np.maximum(at - 1, 0), np.minimum(at, len(other) - 1))]
+        missed = np.minimum(pairs[0][0], pairs[1][0])
+        i = int(np.argmin(missed))
+        if 2 * half <= least or missed[i] > 0.9 * half:
+            return None
+        return i, int(pairs[0][1][i] if pairs[0][0][i] <= pairs[1][0][i] else pairs[1][1][i])
+
+    for _ in range(moves):
+        order = sorted(range(leaves), key=lambda k: (total[k], k))
+        tried = [(order[-1], k) for k in order[:PARTNERS] if k != order[-1]] + [(k, order[0]) for k in order[::-1][:PARTNERS] if k != order[0]]
+        found = next(((high, low, x) for high, low in tried if (x := best(high, low))), None)
+        if found is None:
+            break
+        high, low, (i, j) = found
+        for item, source, to in ((held[high][i], high, low), (held[low][j], low, high)):
+            if item[1] >= 0:
+                held[source].remove(item)
+                insort(held[to], item)
+                total[source] -= item[0]
+                total[to] += item[0]
+                moved[item[1:]] = to
+    return [(shard, bin_, to) for (shard, bin_), to in sorted(moved.items()) if to != shard]
+
+
+def _evened(rows: DataFrame, leaves: int) -> DataFrame:
+    bins = max(16, EVEN_SUMS // leaves)
+    binned = checkpointed(rows.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(bins)).cast("int")))
+    sums = [(r[0], r[1], r[2]) for r in binned.groupBy("shard", "_bin").agg(F.sum("size")).collect()]
+    table = exchange(sums, leaves)
+    if not table:
+        return rows
+    moves = F.broadcast(_inline(rows.sparkSession, table, ["shard", "_bin", "_to"]))
+    return binned.join(moves, ["shard", "_bin"], "left").select("doc_id", "size", "text_crc32", F.coalesce("_to", "shard").cast("int").alias("shard"))
 
 
 def with_slots(rows: DataFrame, n_rows: int) -> DataFrame:
