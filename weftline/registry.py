@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``weftline.plans`` with ``QUERIES`` and ``ORACLES``.
-MODULES = ["catalog_queries", "operator_queries", "domain_queries", "analysis_queries", "signal_queries"]
+MODULES = ["catalog_queries", "operator_queries", "domain_queries", "analysis_queries", "signal_queries", "flow_queries"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
