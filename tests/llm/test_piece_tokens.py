@@ -103,6 +103,32 @@ def test_small_cache_gives_the_same(codec, monkeypatch):
     assert [x.tolist() for x in small.encode(texts())[0]] == [x.tolist() for x in codec.encode(texts())[0]]
 
 
+def test_units_end_before_signs_and_at_line_ends(library):
+    codec = Codec(Path(DEFAULT_MODEL).read_bytes())
+    codec.encode(["the, the. the;\nthe (the)\n\nthe m² 3.5 x.com don't"])
+    assert {"▁the", "the", ",", ".", "\n", "▁m", "²"} <= set(codec.slots) and not {"▁the,", "▁the.", "▁the;\nthe"} & set(codec.slots)
+    rng = random.Random(12)
+    parts = ["the", "Ab", "é", "²", "µ", "中", "🙂", "1", "23", ".", ",", "'s", "//", "::", "\n", "\n\n", "\t", "\r\n", " ", "   ", "▁", "_", "<0x0A>", "=" * 9, "“", "€", "\x00", "ß"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    for t, a, b in zip(texts, *codec.encode(texts), strict=True):
+        assert a.tolist() == library.encode(t), repr(t)
+        assert b.decode() == library.decode(a.tolist()), repr(t)
+
+
+def test_units_that_are_met_again_stay_in_a_full_cache(library, monkeypatch):
+    import weftline.llm.piece_tokens as module
+
+    monkeypatch.setattr(module, "CACHE_UNITS", 50)
+    codec = Codec(Path(DEFAULT_MODEL).read_bytes())
+    learnt = []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda units: (learnt.extend(units), learn(units)))
+    for k in range(40):
+        t = "often often and and " + " ".join(f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}{c}" for c in "abcdefghijklmnopqrst")
+        assert codec.encode([t])[0][0].tolist() == library.encode(t)
+    assert learnt.count("▁often") == learnt.count("▁and") == 1 and len(codec.slots) < 100
+
+
 def test_rows(docs, corpus, nothing, library):
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.round_trip) for r in encode(docs).collect()}
     want = set()

@@ -7,10 +7,12 @@ space becomes the metaspace marker, with a dummy prefix where the model asks for
 first and never merged; characters without a piece fall back to bytes. Decoding puts the pieces' bytes in a row.
 
 No piece holds a marker after another character (checked when the model is read), so merges never cross the start of
-a marker run, and a text's tokens are those of its units: a run of markers and what follows up to the next one. Each
-batch's new units are encoded at once, on all threads the library has, and kept in a cache that is bounded in units and
-characters and lives as long as its worker; a text is put together from its units. Models for which the check fails
-encode whole texts. In runs of several markers merges tie in score; these are merged here, the leftmost first as
+a marker run, and a text's tokens are those of its units: a run of markers and what follows up to the next one. A BPE
+model with all bytes is cut finer, wherever none of its pieces holds the two characters at the cut: before signs and
+digits that follow a letter, and around line ends. Each batch's new units are encoded at once, many of them in one text
+with line ends between, on the task's own thread, and kept in a cache that is bounded in units and characters and lives as
+long as its worker; when it is full, the units that were met again stay. A text is put together from its units. Models
+for which the check fails encode whole texts. In runs of several markers merges tie in score; these are merged here, the leftmost first as
 SentencePiece does. Models with unused pieces, and kinds other than BPE and unigram, are refused.
 
 Defined results: null and empty texts have no tokens; rows with equal ids or texts are kept, each with the same result;
@@ -41,6 +43,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE_UNITS, CACHE_CHARS = 250_000, 8_000_000
 LEARN_UNITS = 4_000  # encoded at once: the library keeps about a kilobyte for each
+LINE_UNITS = 64  # of these in one text, where line ends stand alone
 BATCH_CHARS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -104,6 +107,25 @@ class PieceModel:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")").split if self.user else None
         self.usable = {p: i for p, i in self.ids.items() if self.types[i] == NORMAL}
         self.by_unit = not any(MARK in p.lstrip(MARK) for p in self.usable)
+        self.line_end = self._line_end()
+        self.unit = re.compile(self._units()).findall
+
+    def _line_end(self) -> int | None:
+        """The piece of a line end, if it stands alone in every text: no other piece holds one, and it is one byte."""
+        whole = self.kind == BPE and self.by_unit and self.byte_fallback and all(f"<0x{b:02X}>" in self.ids for b in range(256))
+        return self.ids["<0x0A>"] if whole and not any("\n" in p for p in self.usable) else None
+
+    def _units(self) -> str:
+        """Pattern of units. Where line ends stand alone, so do runs of signs after a letter, as far as no piece holds both;
+        unknown characters become their bytes one by one, so a cut beside them changes nothing."""
+        if self.line_end is None:
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        inner = {p[i : i + 2] for p in self.usable for i in range(len(p) - 1)}
+        signs = {c for c in {*map(chr, range(128)), *chain.from_iterable(inner)} if not c.isalpha() and c not in (MARK, "\n")}
+        while held := {b for a, b in inner if b in signs and a not in signs and a != MARK}:
+            signs -= held
+        some = "".join(map(re.escape, sorted(signs)))
+        return f"\n|{MARK}*[{some}]*[^{MARK}{some}\n]+|{MARK}*[{some}]+|{MARK}+" if some else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+"
 
     def tokenizer(self) -> Tokenizer:
         if self.kind == BPE:
@@ -142,7 +164,7 @@ class Codec:
     def __init__(self, raw: bytes):
         self.model = m = PieceModel(raw)
         self.backend = m.tokenizer()
-        self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.unit = m.unit
         plain = [(b"" if t == CONTROL else " \u2047 ".encode() if t == UNKNOWN else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode("utf-8")) for p, t in zip(m.pieces, m.types, strict=True)]
         self.piece_ends = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
         self.piece_bytes = np.frombuffer(b"".join(plain), np.uint8)
@@ -155,6 +177,29 @@ class Codec:
             self.slots[u] = len(self.flat)
             self.flat.append(k)
             self.ends.append(len(self.flat))
+        if self.model.line_end is not None and "\n" not in self.slots:
+            self.slots["\n"] = len(self.flat)
+            self.flat.append(self.model.line_end)
+            self.ends.append(len(self.flat))
+        self.fixed, self.met = len(self.slots), np.zeros(0, np.int64)
+
+    def _tidy(self) -> None:
+        """Keep the units that were met again since the last time, or none if these are too many."""
+        units, met = list(self.slots), self.met
+        flat, ends = np.array(self.flat, np.int32), np.array(self.ends, np.int64)
+        self._forget()
+        again = np.flatnonzero(met > 1)
+        again = again[again >= self.fixed]
+        kept = [units[k] for k in again.tolist()]
+        if 2 * len(kept) <= CACHE_UNITS and 2 * sum(map(len, kept)) <= CACHE_CHARS:
+            self._add(kept, _stretches(flat, ends[again], ends[again + 1]), np.cumsum(ends[again + 1] - ends[again]))
+
+    def _add(self, units: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
+        first, base = len(self.slots), len(self.flat)
+        self.slots.update(zip(units, range(first, first + len(units)), strict=True))
+        self.flat.frombytes(flat.astype(np.int32).tobytes())
+        self.ends.frombytes((ends + base).astype(np.int64).tobytes())
+        self.chars += sum(map(len, units))
 
     def _fallback(self, text: str) -> list[int]:
         m = self.model
@@ -210,13 +255,19 @@ class Codec:
         return out
 
     def _learn(self, units: list[str]) -> None:
+        if (line_end := self.model.line_end) is not None:
+            plain = [u for u in units if MARK * 2 not in u]
+            units = [u for u in units if MARK * 2 in u]
+            for k in range(0, len(plain), LEARN_UNITS):
+                some = plain[k : k + LEARN_UNITS]
+                lines = ["\n".join(some[i : i + LINE_UNITS]) + "\n" for i in range(0, len(some), LINE_UNITS)]
+                flat = np.concatenate([np.array(e.ids, np.int32) for e in self.backend.encode_batch_fast(lines, add_special_tokens=False)])
+                stops = np.flatnonzero(flat == line_end)
+                self._add(some, flat[flat != line_end], stops - np.arange(len(some)))
         for k in range(0, len(units), LEARN_UNITS):
             some = units[k : k + LEARN_UNITS]
-            for u, ids in zip(some, self._encoded(some), strict=True):
-                self.slots[u] = len(self.ends) - 1
-                self.flat.extend(ids)
-                self.ends.append(len(self.flat))
-                self.chars += len(u)
+            found = self._encoded(some)
+            self._add(some, np.fromiter(chain.from_iterable(found), np.int32), np.cumsum([len(ids) for ids in found]))
 
     def _split(self, text: str) -> list[str]:
         text = self.model.normalise(text)
@@ -237,11 +288,14 @@ class Codec:
                 parts.append(self._split(texts[to]))
                 to += 1
             if len(self.slots) > CACHE_UNITS or self.chars > CACHE_CHARS:
-                self._forget()
+                self._tidy()
             new = set().union(*parts).difference(self.slots)
             if new:
-                self._learn(sorted(new))
+                self._learn(list(new))
             slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+            met = np.bincount(slots, minlength=len(self.slots))
+            met[: len(self.met)] += self.met
+            self.met = met
             ends = np.frombuffer(self.ends, np.int64)
             flat = _stretches(np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32), ends[slots], ends[slots + 1])
             cuts = np.cumsum((ends[slots + 1] - ends[slots]))
@@ -276,6 +330,7 @@ _codecs: dict[str, Codec] = {}
 
 def _codec(name: str) -> Codec:
     if name not in _codecs:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library cost more than they bring
         with open(SparkFiles.get(name), "rb") as f:
             _codecs[name] = Codec(f.read())
     return _codecs[name]
